@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerloom.llm.near_dedup import near_dedup
 from layerloom.llm.substring_dedup import substring_dedup
 
 
@@ -19,8 +20,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), ngram=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_substring_dedup": op2_substring_dedup}
+    return {
+        "op2_substring_dedup": op2_substring_dedup,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
