@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerloom.llm import quality_classifier, quality_rules
+from layerloom.llm._spark import held_out
+from layerloom.llm.media import media_columns
 from layerloom.llm.near_dedup import near_dedup
 from layerloom.llm.substring_dedup import substring_dedup
 
@@ -20,14 +23,33 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_classifier.learn_from(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_classifier.quality_scores(docs.select("doc_id", "text"), model)
+    return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), ngram=3, percent=85)
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir, "documents"), keep_media=False)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.quality_rules(docs, quality_rules.learn_from(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op7_media_columns": op7_media_columns,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
