@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerloom.llm import quality_classifier, quality_rules
 from layerloom.llm._spark import held_out
+from layerloom.llm.bpe import bpe_round_trip
 from layerloom.llm.media import media_columns
 from layerloom.llm.near_dedup import near_dedup
+from layerloom.llm.packing import best_fit_packing
 from layerloom.llm.substring_dedup import substring_dedup
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,18 +44,29 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_rules.quality_rules(docs, quality_rules.learn_from(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_round_trip(_table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_classifier": op3_quality_classifier,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op7_media_columns": op7_media_columns,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_bpe_round_trip": op10_bpe_round_trip,
     }
 
 
