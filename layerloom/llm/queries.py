@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from layerloom.llm import quality_classifier, quality_rules
 from layerloom.llm._spark import held_out
 from layerloom.llm.bpe import bpe_round_trip
+from layerloom.llm.html_text import html_text
 from layerloom.llm.media import media_columns
 from layerloom.llm.near_dedup import near_dedup
 from layerloom.llm.packing import best_fit_packing
@@ -36,6 +37,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", "predicted")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), ngram=3, percent=85)
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_html_extraction": op4_html_extraction,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op7_media_columns": op7_media_columns,
         "op8_best_fit_packing": op8_best_fit_packing,
