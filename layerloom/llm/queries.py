@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerloom.llm import quality_classifier, quality_rules
+from layerloom.llm import language_id, quality_classifier, quality_rules
 from layerloom.llm._spark import held_out
 from layerloom.llm.bpe import bpe_round_trip
 from layerloom.llm.html_text import html_text
@@ -45,6 +45,13 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), ngram=3, percent=85)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.learn_from(docs, ~held_out("doc_id"))
+    out = language_id.identify(docs.select("doc_id", "text"), model, keep_spans=False)
+    return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"), keep_media=False)
 
@@ -69,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_html_extraction": op4_html_extraction,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_language_id": op6_language_id,
         "op7_media_columns": op7_media_columns,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
