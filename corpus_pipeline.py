@@ -1,4 +1,73 @@
-STAGES = []
+"""A corpus pipeline of five stages over the documents table: what each keeps or changes is the next one's input.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from layerloom.llm import language_id, quality_classifier
+from layerloom.llm._spark import cut, held_out
+from layerloom.llm.near_dedup import near_dedup
+from layerloom.llm.packing import best_fit_packing
+from layerloom.llm.substring_dedup import substring_dedup
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those whose language is hardly likelier than chance."""
+    model = language_id.learn_from(docs, ~held_out("doc_id"))
+    found = language_id.identify(docs.withColumn("kept_text", F.col("text")), model, "kept_text", keep_spans=False)
+    least = 1.5 / max(1, len(model.languages)) if len(model.languages) > 1 else 0.0
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*").select(docs.columns)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the rule ensemble scores below its threshold."""
+    model = quality_classifier.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_classifier.quality_scores(docs.withColumn("scored_text", F.col("text")), model, text_col="scored_text")
+    return scored.filter("predicted = 1").select("row.*").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8 or more)."""
+    gone = near_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes words in windows that also start in a document with a smaller id; other texts stay as they are."""
+    others = [c for c in docs.columns if c != "text"]
+    out = substring_dedup(docs, carry=others)
+    changed = F.col("n_removed") > 0
+    columns = [F.col(f"row.`{c}`").alias(c) for c in others if c != "n_chars"]
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+    size = F.when(changed, F.char_length("kept_text").cast("bigint")).otherwise(F.col("row.n_chars"))
+    return out.select(*columns, text.alias("text"), size.alias("n_chars")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents that are left into sequences of 2048 tokens."""
+    return best_fit_packing(docs, VOCABULARY, keep_ids=False)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality", filter_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", remove_substrings),
+    ("packing", pack),
+]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each one's result kept in the checkpoint folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

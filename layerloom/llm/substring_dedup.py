@@ -123,7 +123,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table(rows, schema=pa.schema([("blk", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]))
 
 
-def _remove(window: int) -> Callable:
+def _remove(window: int, keep_text: bool) -> Callable:
     def remove(key: tuple[pa.Scalar, ...], table: pa.Table, heard: pa.Table) -> pa.Table:
         block = _Block(table, window)
         hashes, smallest, index = block.distinct()
@@ -156,35 +156,39 @@ def _remove(window: int) -> Callable:
             out["kept_text"].append(b" ".join(words).decode())
             out["removed"].append(spans)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        before = {"id": table.column("id"), "row": table.column("row")} | ({"text": table.column("text")} if keep_text else {})
         return pa.table(
-            {"id": table.column("id"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
+            before | {"n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
              "kept_text": pa.array(out["kept_text"], pa.string()), "removed": pa.array(out["removed"], span)}
         )
 
     return remove
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, n_blocks: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None, n_blocks: int | None = None) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, kept_text (kept words joined by one space) and removed.
 
-    removed holds the maximal removed intervals as word positions, end exclusive. n_blocks (default: by size) only
-    deals out work; it never changes the result.
+    removed holds the maximal removed intervals as word positions, end exclusive. Columns named in carry come along as
+    the struct `row`, and the whole text as `text`. n_blocks (default: by size) only deals out work; it never changes
+    the result.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     n = n_blocks or blocks(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
     dealt = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n))).repartition(n, "blk")
     sent = dealt.groupBy("blk").applyInArrow(_emit(window, n), "bucket long, blk long, n long, packed binary")
     heard = sent.groupBy("bucket").applyInArrow(_repeated, "blk long, n long, packed binary")
-    remove, empty = _remove(window), pa.schema([("blk", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]).empty_table()
+    remove, empty = _remove(window, bool(carry)), pa.schema([("blk", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]).empty_table()
 
     def apply(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         return remove(key, left, right if right.num_rows else empty)
 
-    schema = "id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>"
+    kind = dealt.schema["row"].dataType.simpleString()
+    schema = f"id bigint, row {kind}, {'text string, ' * bool(carry)}n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>"
     out = dealt.groupBy("blk").cogroup(heard.groupBy("blk")).applyInArrow(apply, schema)
-    return out.withColumnRenamed("id", id_col)
+    return (out if carry else out.drop("row")).withColumnRenamed("id", id_col)
 
 
 def reference(rows: list[tuple], window: int = WINDOW) -> dict:
