@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, waves: int = 0) -> DataFrame:
     """df, computed and kept in the shared checkpoint folder: a lost executor costs no recomputation, lineage ends here.
 
+    waves: so many partitions for each core of the cluster at most, for fewer files; a task then goes through its
+    partitions one after another and holds one at a time.
     The folder is the one spark.checkpoint.dir names; only a local session without it gets a temporary one.
     """
     spark: SparkSession = df.sparkSession
@@ -23,7 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="layerloom-"))
-    return df.checkpoint(eager=True)
+    return (few(df, waves) if waves else df).checkpoint(eager=True)
+
+
+def few(df: DataFrame, waves: int = 2) -> DataFrame:
+    """df in at most `waves` partitions for each core of the cluster."""
+    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:

@@ -9,9 +9,11 @@ comparisons make links: 100 * intersection >= percent * union.
 Groups of copies. Equal sets form one class with one representative, so copies never meet pairwise. In each band's
 bucket every representative is first compared with two leaders (the smallest and an arbitrary one): as many pairs as
 members. Confirmed links are contracted to components. A bucket whose members are all connected by then needs nothing
-more; in the others, members of different components are compared by odd sketch inside tasks of bounded size (a large
-bucket is cut into a grid of cells), so a link between any two different texts that share a band is found, while no
-group is ever emitted or held as a whole.
+more. In the others, odd sketches of members from different components are compared inside tasks; these pass on no
+pairs but a spanning forest of the candidate links, whose components are clusters. Within a cluster the full sets of all
+members are compared, again inside tasks that pass on a spanning forest, now of confirmed links. A bucket or cluster
+larger than a task may hold is cut into a grid of cells, each a pair of parts: every two members meet in some cell, so
+no link between different texts that share a band is lost, and what is passed on grows with members, not with pairs.
 
 At a similarity of 0.85 two texts share no band with probability 7e-9, at 0.8 with probability 3e-6.
 
@@ -29,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm._spark import cut
+from layerloom.llm._spark import cut, few
 from layerloom.llm._words import U, buffers, mix, window_hashes, word_hashes, word_spans
 from layerloom.llm.components import components
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
-#: Members of a bucket that one task compares with as many others.
-CELL = 512
+#: Members of a part of a bucket or cluster, and shingles in a part of a cluster; a cell holds two parts.
+PART, PART_SHINGLES = 256, 300_000
+#: Shingles that are compared in one go.
+COLUMNS = 8192
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U))
 _A, _B = (_SEEDS[:SAMPLES] >> U(32)).astype(np.uint32) | np.uint32(1), (_SEEDS[SAMPLES:] >> U(32)).astype(np.uint32)
 
@@ -129,25 +133,81 @@ def _confirm(ngram: int, percent: int):
     return confirm
 
 
+def _forest(near: np.ndarray, tied: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of a spanning forest of a symmetric matrix of links; members tied to each other need no link."""
+    left, out = np.ones(len(near), bool), []
+    for root in range(len(near)):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            if tied is not None:
+                same = np.flatnonzero(left & (tied == tied[i]))
+                left[same] = False
+                todo += same.tolist()
+            found = np.flatnonzero(near[i] & left)
+            if tied is not None and len(found):  # one link to each group of tied members
+                found = found[np.unique(tied[found], return_index=True)[1]]
+            left[found] = False
+            out += [(i, j) for j in found.tolist()]
+            todo += found.tolist()
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _pairs(ids: np.ndarray, found: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(ids[found].min(axis=1, initial=np.iinfo(np.int64).max)), "b": pa.array(ids[found].max(axis=1, initial=np.iinfo(np.int64).min))})
+
+
 def _cross(limit: int):
-    """Pairs of one cell's members from different components whose sketches differ in at most limit bits."""
+    """Of one cell: a forest of the pairs from different components whose sketches differ in at most limit bits."""
 
     def cross(table: pa.Table) -> pa.Table:
         ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
-        side = table.column("side").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(len(ids), -1)
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        for i in left:
-            to = right[(comps[right] != comps[i]) & ((side[i] == 0) | (right > i))]
-            near = to[np.bitwise_count(sketch[to] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit]
-            a_out.append(np.minimum(ids[near], ids[i]))
-            b_out.append(np.maximum(ids[near], ids[i]))
-        return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
+        near = np.stack([np.bitwise_count(sketch ^ own).sum(axis=1, dtype=np.int64) <= limit for own in sketch])
+        return _pairs(ids, _forest(near & (comps != comps[:, None])))
 
     return cross
 
 
+def _resolve(ngram: int, percent: int):
+    """Of one cell: a forest, across components, of the pairs whose full sets are similar enough."""
+
+    def resolve(table: pa.Table) -> pa.Table:
+        ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+        sets = shingle_sets(table.column("text"), ngram)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        owner, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        number, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        shared = np.diff(np.append(heads, len(flat))) > 1
+        column = np.cumsum(shared) - 1
+        keep = shared[number]
+        owner, number = owner[keep], column[number[keep]]
+        both = np.zeros((len(ids), len(ids)), np.int64)
+        for at in range(0, int(shared.sum()), COLUMNS):
+            here = slice(*np.searchsorted(number, [at, at + COLUMNS]))
+            has = np.zeros((len(ids), min(COLUMNS, int(shared.sum()) - at)), np.float32)
+            has[owner[here], number[here] - at] = 1
+            both += (has @ has.T).astype(np.int64)
+        near = (both > 0) & (100 * both >= percent * (sizes + sizes[:, None] - both)) & (comps != comps[:, None])
+        return _pairs(ids, _forest(near, comps))
+
+    return resolve
+
+
+def _grid(members: DataFrame, group: str, parts: Column) -> DataFrame:
+    """members, each in all cells (x, y) of its group's grid that hold its part."""
+    dealt = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    spread = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    return spread.select(group, F.least("own", "part").alias("x"), F.greatest("own", "part").alias("y"), "id", "comp")
+
+
 def _xor_bits(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -158,55 +218,49 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     feats = cut(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_features(ngram), "id bigint, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>"))
     usable = feats.filter("id is not null and set_key is not null")
     classes = usable.groupBy("set_key").agg(F.min("id").alias("rep"))
-    own = usable.select("id", "set_key", "text_key", "bands", "sketch").join(classes.withColumnRenamed("set_key", "class_key"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("class_key")))
-    one = own.groupBy("rep").agg(F.min_by(F.struct("bands", "sketch"), "text_key").alias("one"))
-    reps = cut(one.select("rep", "one.bands", "one.sketch"))
+    own = usable.select("id", "set_key", "text_key", "bands", "sketch", "n_shingles").join(classes.withColumnRenamed("set_key", "class_key"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("class_key")))
+    one = own.groupBy("rep").agg(F.min_by(F.struct("bands", "sketch", F.col("n_shingles").alias("n")), "text_key").alias("one"))
+    reps = cut(one.select("rep", "one.bands", "one.sketch", "one.n"), waves=4)
     limit = most_different_bits(percent)
 
     spread = reps.select("rep", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("lead"), F.max_by("rep", F.xxhash64("rep")).alias("other"), F.count("*").alias("size")).filter("size > 1")
-    members = cut(spread.join(shared, "key"))
+    members = cut(spread.join(shared.drop("size"), "key"), waves=4)
     sketches = reps.select("rep", "sketch")
-    texts = rows.filter("id is not null and text is not null")
-
-    def confirmed(pairs: DataFrame, sift: bool) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough; sift: first by odd sketch."""
-        if sift:
-            pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
-            pairs = pairs.filter(_xor_bits("sketch_a", "sketch_b") <= limit).select("a", "b")
-        pairs = cut(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = cut(texts.join(needed, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
-        full = pairs.join(wanted.toDF("a", "text_a"), "a").join(wanted.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return full.mapInArrow(_confirm(ngram, percent), "a bigint, b bigint")
+    needed = members.select(F.col("rep").alias("id")).distinct()
+    texts = rows.filter("id is not null and text is not null").join(needed, "id", "left_semi")
+    texts = cut(texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), waves=4)
 
     first = members.select(F.col("rep"), F.explode(F.array("lead", "other")).alias("to")).filter("rep <> to")
-    tried = cut(first.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct())
-    links = cut(confirmed(tried, True))
-    comps = cut(components(links))
-
-    labelled = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    split = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    open_ = cut(labelled.join(split, "key").select("key", "rep", "comp", "size"))
-    if not open_.isEmpty():
-        cells = F.ceil(F.col("size") / CELL).cast("int")
-        mine = open_.withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
-        grid = mine.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        grid = grid.select(
-            "key", F.least("own", "cell").alias("x"), F.greatest("own", "cell").alias("y"), F.col("rep").alias("id"), "comp",
-            F.when(F.col("own") == F.col("cell"), 2).when(F.col("own") < F.col("cell"), 0).otherwise(1).alias("side"),
-        )
-        little = lambda i: F.unhex(F.lpad(F.hex(F.element_at("sketch", i)), 16, "0"))
-        packed = reps.select(F.col("rep").alias("id"), F.concat(*[little(i) for i in range(1, BITS // 64 + 1)]).alias("packed"))
-        pairs = grid.join(packed, "id").groupBy("key", "x", "y").applyInArrow(_cross(limit), "a bigint, b bigint").distinct()
-        more = confirmed(pairs.join(tried, ["a", "b"], "left_anti"), False)
-        comps = cut(components(links.unionAll(more)))
+    first = first.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
+    first = first.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+    first = first.filter(_xor_bits("sketch_a", "sketch_b") <= limit).select("a", "b")
+    first = first.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    links = cut(first.mapInArrow(_confirm(ngram, percent), "a bigint, b bigint"), waves=4)
+    comps = components(links)
+
+    labelled = members.select("key", F.col("rep").alias("id")).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    split = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
+    open_ = labelled.join(split, "key").select("key", "id", "comp", "size")
+    little = lambda i: F.unhex(F.lpad(F.hex(F.element_at("sketch", i)), 16, "0"))
+    packed = reps.select(F.col("rep").alias("id"), F.concat(*[little(i) for i in range(1, BITS // 64 + 1)]).alias("packed"))
+    cells = _grid(open_, "key", F.ceil(F.col("size") / PART)).join(packed, "id")
+    candidates = cut(cells.groupBy("key", "x", "y").applyInArrow(_cross(limit), "a bigint, b bigint").distinct(), waves=2)
+    if not candidates.isEmpty():
+        clusters = components(candidates).toDF("id", "cluster")
+        members = clusters.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+        members = members.join(reps.select(F.col("rep").alias("id"), "n"), "id")
+        sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+        parts = F.greatest(F.ceil(F.col("size") / PART), F.ceil(F.col("shingles") / PART_SHINGLES))
+        cells = _grid(members.join(sizes, "cluster"), "cluster", parts).join(texts, "id")
+        more = cells.groupBy("cluster", "x", "y").applyInArrow(_resolve(ngram, percent), "a bigint, b bigint")
+        comps = components(links.unionAll(more))
 
     in_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("of_class"))
     out = feats.select("id", "n_shingles", "set_key").join(in_class, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("of_class", "id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return few(out).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def reference(rows: list[tuple], ngram: int, percent: int) -> dict:
