@@ -39,7 +39,7 @@ BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
 #: Members of a part of a bucket or cluster, and shingles in a part of a cluster; a cell holds two parts.
-PART, PART_SHINGLES = 256, 300_000
+PART, PART_SHINGLES = 512, 300_000
 #: Shingles that are compared in one go.
 COLUMNS = 8192
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U))
