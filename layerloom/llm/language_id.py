@@ -37,7 +37,9 @@ BUCKETS, GRAMS = 1 << 16, (1, 2, 3, 4)
 CHAINS, CHAIN, SPAN = 2500, 40, 12
 ROUNDS, STEP, SHRINK = 30, 0.4, 1e-6
 #: Bytes of text whose chains advance together.
-SLICE_BYTES = 10 << 20
+SLICE_BYTES = 6 << 20
+#: Kinds of words whose features are held at a time.
+KINDS = 1 << 14
 EDGE = 0x00
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -48,23 +50,48 @@ _HAS_LETTER = regex.compile(r"\p{L}")
 
 @dataclass
 class Words:
-    """The words of some texts: bounds as word_spans gives them, the kind of each word, and each kind's features."""
+    """The words of some texts: bounds as word_spans gives them, the kind of each word, and the letters of each kind.
+
+    buffer holds the kinds one after another, each with an edge on both sides; begin is where each starts.
+    """
 
     bounds: np.ndarray
     kinds: np.ndarray
     lettered: np.ndarray
-    features: np.ndarray = field(repr=False)
-    first: np.ndarray = field(repr=False)
+    buffer: np.ndarray = field(repr=False)
+    begin: np.ndarray = field(repr=False)
+
+    def features(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The features of kinds low to high (exclusive), kind by kind, and where each kind's begin."""
+        begin = self.begin[low : high + 1] - self.begin[low]
+        buffer = self.buffer[self.begin[low] : self.begin[high]]
+        owner = np.repeat(np.arange(high - low, dtype=np.int32), np.diff(begin))
+        full = np.flatnonzero(self.lettered[low:high])
+        whole = word_hashes(buffer, begin[full], begin[full + 1])
+        columns, owners = [(mix(whole) % U(BUCKETS)).astype(np.int32)], [full.astype(np.int32)]
+        wide = buffer.astype(U)
+        rolling = wide
+        for n in range(1, max(GRAMS) + 1):
+            if n > 1:
+                rolling = rolling[:-1] * U(256) + wide[n - 1 :]
+            if n in GRAMS and len(rolling):
+                at = np.flatnonzero(owner[: len(rolling)] == owner[n - 1 :])
+                if n == 1:
+                    at = at[buffer[at] != EDGE]
+                columns.append((mix(rolling[at] + (U(n) << U(40))) % U(BUCKETS)).astype(np.int32))
+                owners.append(owner[at])
+        of, found = np.concatenate(owners), np.concatenate(columns)
+        order = np.argsort(of, kind="stable")
+        return found[order], np.searchsorted(of[order], np.arange(high - low + 1))
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Each kind's score in each language."""
         out = np.zeros((len(self.lettered), weights.shape[1]), np.float32)
-        full = np.flatnonzero(np.diff(self.first))
-        if len(full):
-            for at in range(0, len(full), 1 << 15):  # bounds the gathered weights
-                part = full[at : at + (1 << 15)]
-                a, b = self.first[part[0]], self.first[part[-1] + 1]
-                out[part] = np.add.reduceat(weights[self.features[a:b]], self.first[part] - a, axis=0)
+        for low in range(0, len(out), KINDS):
+            found, first = self.features(low, min(len(out), low + KINDS))
+            full = np.flatnonzero(np.diff(first))
+            if len(full):
+                out[low + full] = np.add.reduceat(weights[found], first[full], axis=0)
         return out
 
 
@@ -91,22 +118,7 @@ def words_of(column: pa.Array) -> Words:
     buffer[inner] = _LOWER[data[source]]
     latin = np.flatnonzero((buffer[:-1] == 0xC3) & (buffer[1:] >= 0x80) & (buffer[1:] <= 0x9E)) + 1
     buffer[latin] += 0x20
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    wide = buffer.astype(U)
-    columns = [np.where(lettered, mix(word_hashes(buffer, begin[:-1], begin[1:])) % U(BUCKETS), U(0))[lettered]]
-    owners = [np.flatnonzero(lettered)]
-    rolling = np.zeros(total, U)
-    for n in range(1, max(GRAMS) + 1):
-        rolling = rolling[: total - n + 1] * U(256) + wide[n - 1 :] if n > 1 else wide.copy()
-        if n in GRAMS and len(rolling):
-            at = np.flatnonzero(owner[: len(rolling)] == owner[n - 1 :])
-            if n == 1:
-                at = at[buffer[at] != EDGE]
-            columns.append(mix(rolling[at] + (U(n) << U(40))) % U(BUCKETS))
-            owners.append(owner[at])
-    of, features = np.concatenate(owners), np.concatenate(columns).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    return Words(bounds, kinds, lettered, features[order], np.searchsorted(of[order], np.arange(len(sizes) + 1)))
+    return Words(bounds, kinds, lettered, buffer, begin)
 
 
 def forward_backward(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -179,9 +191,13 @@ def learn(texts: list[str], languages: list[str]) -> LanguageModel:
             t += n
     size, n = len(names), CHAINS * CHAIN
     used, index = np.unique(kinds.ravel(), return_inverse=True)
-    counts = np.diff(words.first)[used]
-    of = np.repeat(np.arange(len(used)), counts)
-    flat = words.features[np.concatenate([np.arange(words.first[k], words.first[k + 1]) for k in used])] if len(of) else words.features[:0]
+    parts, sizes = [], []
+    for low in range(0, len(words.lettered), KINDS):  # only the features of the kinds that the chains use are kept
+        found, first = words.features(low, min(len(words.lettered), low + KINDS))
+        for k in used[(used >= low) & (used < low + KINDS)] - low:
+            parts.append(found[first[k] : first[k + 1]].copy())
+            sizes.append(len(parts[-1]))
+    flat, of = np.concatenate(parts), np.repeat(np.arange(len(used)), sizes)
     weights, transitions = np.zeros((BUCKETS, size)), np.zeros((size, size))
     seen_w, seen_t = np.full((BUCKETS, size), 1e-8), np.full((size, size), 1e-8)
     bounds, onehot = np.arange(CHAINS + 1) * CHAIN, np.eye(size)[truth.ravel()]
