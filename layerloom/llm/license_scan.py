@@ -287,7 +287,8 @@ def learn_from(docs: DataFrame, limit: int = SAMPLE) -> LicenseModel:
 
     The bound concerns learning only. Paragraphs that speak of licences themselves are no examples of ordinary text.
     """
-    chosen = docs.filter("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id")).limit(limit)
+    ids = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").alias("id")).orderBy(F.xxhash64("id")).limit(limit)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("id"), "left_semi")  # limit ids
     lines = chosen.select("doc_id", F.expr(f"transform(split(text, '\\n'), l -> struct(xxhash64(l) as h, substr(l, 1, {SAMPLE_CHARS}) as line))").alias("lines"))
     rows = lines.select("doc_id", F.expr("array_min(filter(lines, l -> not rlike(l.line, '(?i)licen[cs]|copyright|spdx|all rights'))).line").alias("line"))
-    return learn([r["line"] for r in rows.orderBy("doc_id").collect() if r["line"]])
+    return learn(sorted({r["line"] for r in rows.collect() if r["line"]})[:limit])
