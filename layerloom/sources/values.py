@@ -80,10 +80,19 @@ def at_index(g: m.Record, index: Column) -> Column:
 
 
 def _letters(alphabet: str, index: Column, n: int) -> Column:
-    """index in base len(alphabet) as n letters."""
-    k = F.lit(len(alphabet)).cast("bigint")
-    digits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.pmod(F.call_function("div", index, F.pow(k.cast("double"), p).cast("bigint")), k)) if len(alphabet) > 1 else F.array_repeat(F.lit(0).cast("bigint"), n)
-    return F.array_join(F.transform(digits, lambda d: F.substring(F.lit(alphabet), (d + 1).cast("int"), F.lit(1))), "")
+    """index in base len(alphabet) as n letters; letters beyond what any index needs follow from a hash of it."""
+    k = len(alphabet)
+    if k == 1:
+        return F.lit(alphabet * n)
+    own = min(n, math.ceil(52 / math.log2(k)))
+    base = F.lit(k).cast("bigint")
+
+    def letter(p: Column) -> Column:
+        place = F.pow(F.lit(float(k)), F.least(p, F.lit(own - 1))).cast("bigint")
+        digit = F.when(p < own, F.pmod(F.call_function("div", index, place), base)).otherwise(below(k, 0, index, p))
+        return F.substring(F.lit(alphabet), (digit + 1).cast("int"), F.lit(1))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), letter), "")
 
 
 def _string_at(g: m.RandomString, index: Column) -> Column:
