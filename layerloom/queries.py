@@ -6,15 +6,21 @@ Every query compiles a specification object (as JSON would declare it) with the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from layerloom.cli import load
 from layerloom.functions.expressions import condition, name
 from layerloom.operators import checks, models
-from layerloom.operators.preview import top
+from layerloom.operators.preview import checksum, top
+from layerloom.plans import resolve
+from layerloom.sources import parquet, values
+from layerloom.sources.synthetic import synthesise
+from layerloom.spec import document
 from layerloom.spec import model as m
 from layerloom.spec.shapes import Object
 from layerloom.types import BOOLEAN, DATE, FLOAT, INTEGER, STRING, TIMESTAMP, Schema
@@ -394,3 +400,65 @@ _join("topo_early_join", "supplier", "nation", [("s_nationkey", "n_nationkey")],
 # Previews.
 
 _register("preview_topk", lambda spark, d: top(source(spark, d, "orders")[0].select("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderkey",)), "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey NULLS LAST LIMIT 5")
+
+# Sources: a verified scan, a row count, and generators, whose random kinds are held against what they must keep.
+
+_DOCUMENTS: Schema = {"doc_id": INTEGER, "text": STRING, "lang": STRING, "source": STRING, "n_chars": INTEGER}
+_register("io_parquet_scan", lambda spark, d: parquet.read(spark, f"{d}/documents.parquet", _DOCUMENTS).select("doc_id", "lang", "n_chars"), "SELECT doc_id, lang, n_chars FROM documents")
+_register("io_row_count", lambda spark, d: source(spark, d, "lineitem")[0].agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM lineitem")
+_register("io_checksum", lambda spark, d: spark.createDataFrame([(*checksum(source(spark, d, "orders")[0]), *checksum(source(spark, d, "orders")[0].repartition(5)))], "n bigint, a string, m bigint, b string").selectExpr("n", "n = m and a = b as same"), "SELECT count(*) AS n, true AS same FROM orders")
+
+
+def _generated(key: str, spec: dict, n: int, inside: Callable, sql: str | None = None, once: bool = False) -> None:
+    """n draws of a generator: themselves if SQL can tell them, else whether all are inside and how many differ."""
+    g = m.GENERATOR.read(spec, "")
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        make = (lambda i: values.distinct(g, i, n, 11)) if once else (lambda i: values.drawn(g, i, 11))
+        rows = spark.range(n).select(F.col("id").alias("row"), make(F.col("id")).alias("value"))
+        if sql:
+            return rows
+        different = F.count_distinct("value") == n if once else F.count_distinct("value") > 1
+        return rows.agg(F.count("value").alias("n"), F.every(inside(F.col("value"))).alias("inside"), different.alias("different"))
+
+    _register(key, query, sql or f"SELECT CAST({n} AS BIGINT) AS n, true AS inside, true AS different")
+
+
+_generated("gen_formatted_id", {"kind": "formatted_id", "prefix": "ID-", "digits": 5, "start": 7}, 500, None, "SELECT i AS row, 'ID-' || lpad(CAST(i + 7 AS VARCHAR), 5, '0') AS value FROM range(500) t(i)")
+_generated("gen_integer_range", {"kind": "integer_range", "min": -5, "max": 5}, 1000, lambda x: x.between(-5, 5))
+_generated("gen_float_range", {"kind": "float_range", "min": 0.5, "max": 9.5, "decimal_places": 1}, 1000, lambda x: x.between(0.5, 9.5) & (F.round(x, 1) == x))
+_generated("gen_date_range", {"kind": "date_range", "min": "2024-02-01", "max": "2024-03-01"}, 1000, lambda x: x.between("2024-02-01", "2024-03-01"))
+_generated("gen_timestamp_range", {"kind": "timestamp_range", "min": "2024-02-01T00:00:00+00:00", "max": "2024-02-02T00:00:00+00:00"}, 1000, lambda x: F.unix_seconds(x).between(1706745600, 1706832000))
+_generated("gen_categorical", {"kind": "categorical", "values": ["a", "b", "c"], "weights": [1.0, 2.0, 0.0]}, 1000, lambda x: x.isin("a", "b"))
+_generated("gen_boolean", {"kind": "boolean", "true_probability": 0.25}, 1000, lambda x: x.isNotNull())
+_generated("gen_random_string", {"kind": "random_string", "min_length": 3, "max_length": 6}, 1000, lambda x: x.rlike("^[a-z0-9]{3,6}$"))
+_generated("gen_unique_integer", {"kind": "integer_range", "min": 1, "max": 1000}, 1000, lambda x: x.between(1, 1000), once=True)
+_generated("gen_unique_string", {"kind": "random_string", "min_length": 2, "max_length": 3, "alphabet": "abcdefghij"}, 1000, lambda x: x.rlike("^[a-j]{2,3}$"), once=True)
+for _kind, _pattern in (("person_name", r"^\S+ \S+$"), ("email", r"^[a-zü.äöß]+[0-9]+@[a-z.]+$"), ("city", r"^\S+$"), ("street_address", r"^\S+ [0-9]+, [0-9]{5} \S+$"), ("company_name", r"^\S+ .+$"), ("phone_number", r"^\+49 [0-9]+ [0-9]+$")):
+    _generated(f"gen_{_kind}", {"kind": _kind}, 500, lambda x, p=_pattern: x.rlike(p))
+
+
+def _template(spark: SparkSession, d: str) -> DataFrame:
+    g = m.GENERATOR.read({"kind": "template_string", "template": "{o_orderkey}/{o_orderstatus}:{o_totalprice}"}, "")
+    df, schema = source(spark, d, "orders")
+    return df.select("o_orderkey", values.templated(g, schema).alias("label"))
+
+
+_register("gen_template_string", _template, "SELECT o_orderkey, o_orderkey || '/' || o_orderstatus || ':' || CAST(o_totalprice AS VARCHAR) AS label FROM orders")
+
+
+def scenario_outputs(scenario: str) -> Query:
+    """How many checks of a bundled scenario's synthetic raw tables hold, and how many rows each table has."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        plan = resolve(document.parse(load(scenario)))
+        tables, counts = synthesise(spark, plan, 0)
+        mine = [a for a in plan.assertions() if a.model in tables and getattr(a, "to_model", a.model) in tables]
+        found = [rows.agg(F.lit(key).alias("check"), F.count(F.lit(1)).alias("violations")) for a in mine for key, rows in checks.violations(a, tables)]
+        return reduce(DataFrame.unionAll, found).filter("violations > 0").unionAll(spark.createDataFrame([("checks", len(found)), ("tables", len(counts))], "check string, violations bigint"))
+
+    return query
+
+
+_register("gen_foreign_keys", scenario_outputs("library_loans_001"), "SELECT * FROM (VALUES ('checks', CAST(17 AS BIGINT)), ('tables', CAST(3 AS BIGINT))) t(\"check\", violations)")
+_register("gen_bridge_and_composite_key", scenario_outputs("tours_guides_001"), "SELECT * FROM (VALUES ('checks', CAST(15 AS BIGINT)), ('tables', CAST(3 AS BIGINT))) t(\"check\", violations)")
