@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerloom.llm import language_id, quality_classifier
-from layerloom.llm._spark import cut, held_out
+from layerloom.llm._spark import cut, few, held_out
 from layerloom.llm.near_dedup import near_dedup
 from layerloom.llm.packing import best_fit_packing
 from layerloom.llm.substring_dedup import substring_dedup
@@ -21,22 +21,23 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those whose language is hardly likelier than chance."""
     model = language_id.learn_from(docs, ~held_out("doc_id"))
-    found = language_id.identify(docs.withColumn("kept_text", F.col("text")), model, "kept_text", keep_spans=False)
+    found = language_id.identify(docs, model, keep_spans=False, keep_text=True)
     least = 1.5 / max(1, len(model.languages)) if len(model.languages) > 1 else 0.0
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*").select(docs.columns)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return few(kept.select("row.*", "text").select(docs.columns))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the rule ensemble scores below its threshold."""
     model = quality_classifier.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_classifier.quality_scores(docs.withColumn("scored_text", F.col("text")), model, text_col="scored_text")
-    return scored.filter("predicted = 1").select("row.*").select(docs.columns)
+    scored = quality_classifier.quality_scores(docs, model, keep_text=True)
+    return few(scored.filter("predicted = 1").select("row.*", "text").select(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8 or more)."""
     gone = near_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return few(docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti"))
 
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents that are left into sequences of 2048 tokens."""
-    return best_fit_packing(docs, VOCABULARY, keep_ids=False)
+    return few(best_fit_packing(docs, VOCABULARY, keep_ids=False))
 
 
 STAGES = [

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Bytes of rows that go to or come from Python at a time.
+BATCH_BYTES = 4 << 20
+#: Bytes of a partition, as measured, up to which a hash table of it is built.
+HASH_BYTES = "16m"
 
 
 def cut(df: DataFrame, waves: int = 0) -> DataFrame:
@@ -33,6 +38,32 @@ def few(df: DataFrame, waves: int = 2) -> DataFrame:
     return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what goes to and comes from Python at a time in bytes, not only in rows; a smaller bound is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def batched(df: DataFrame, func: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(func, schema) with bounded batches."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(func, schema)
+
+
+def hash_joins(spark: SparkSession) -> None:
+    """Lets adaptive execution join by hashing, without sorting either side, where every partition of one is small."""
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    if spark.conf.get(key) in ("0", "0b"):
+        spark.conf.set(key, HASH_BYTES)
+
+
+def packed_row(df: DataFrame, columns: list[str]) -> Column:
+    """The columns as one struct whose fields may all be null, so that it comes back from Python with the same type."""
+    kind = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).schema["row"].dataType.simpleString()
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).cast(kind).alias("row")
+
+
 def blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
     """The number of blocks of about block_bytes that the texts of df make; grows with the input, at least 1."""
     size = df.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64))).first()[0] or 0

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm._spark import held_out
+from layerloom.llm._spark import batched, held_out
 from layerloom.llm._words import SEPARATORS, U, buffers, mix, owners, window_hashes, windows_inside, word_hashes, word_spans
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_bangs", "n_bars", "n_stops", "n_same", "n_lines")
@@ -100,10 +100,10 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
     return out | {"n_same": np.bincount(owner[same], minlength=n), "n_lines": count(_BREAKS) + 1}
 
 
-def with_counts(df: DataFrame, text: str) -> DataFrame:
-    """df's other columns and COUNTS of its text column, as bigint; the text itself isn't carried on."""
-    keep = [c for c in df.columns if c != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"{c} bigint" for c in COUNTS])
+def with_counts(df: DataFrame, text: str, keep_text: bool = False) -> DataFrame:
+    """df's other columns, its text column (if keep_text) and COUNTS of it, as bigint."""
+    keep = [c for c in df.columns if keep_text or c != text]
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} bigint" for c in COUNTS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,7 @@ def with_counts(df: DataFrame, text: str) -> DataFrame:
                 found = count_texts(part.column(text))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(found[c].astype(np.int64)) for c in COUNTS], [*keep, *COUNTS])
 
-    return df.select(*keep, text).mapInArrow(count, schema)
+    return batched(df.select(*[c for c in keep if c != text], text), count, schema)
 
 
 def ratios() -> dict[str, Column]:

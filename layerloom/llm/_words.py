@@ -16,7 +16,7 @@ SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bytes hashed in one go; bounds the temporary arrays (8 bytes each) whatever the text.
-SPAN = 1 << 20
+SPAN = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

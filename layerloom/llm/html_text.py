@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerloom.llm._spark import batched, packed_row
 from layerloom.llm._stats import slices
 
 # Element names of HTML and words that mark boilerplate in class, id and role.
@@ -237,6 +238,6 @@ def html_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 texts = [extract(page) for page in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    rows = pages.select(F.struct(*others).alias("row"), F.col(html_col).alias("html"))
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    rows = pages.select(packed_row(pages, others), F.col(html_col).alias("html"))
+    out = batched(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
     return out.select("row.*", "text").withColumn("n_chars", F.char_length("text").cast("bigint"))

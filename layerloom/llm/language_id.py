@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerloom.llm._spark import batched, packed_row
 from layerloom.llm._stats import slices
 from layerloom.llm._words import U, buffers, mix, word_hashes, word_spans
 
@@ -37,9 +38,9 @@ BUCKETS, GRAMS = 1 << 16, (1, 2, 3, 4)
 CHAINS, CHAIN, SPAN = 2500, 40, 12
 ROUNDS, STEP, SHRINK = 30, 0.4, 1e-6
 #: Bytes of text whose chains advance together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 #: Kinds of words whose features are held at a time.
-KINDS = 1 << 14
+KINDS = 1 << 13
 EDGE = 0x00
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -267,8 +268,8 @@ def _spans(model: LanguageModel, words: Words, post: np.ndarray) -> list[list[di
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_spans: bool = True) -> DataFrame:
-    """docs' other columns as `row`, lang_pred, score and (if keep_spans) spans of words by language."""
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_spans: bool = True, keep_text: bool = False) -> DataFrame:
+    """docs' other columns as `row`, lang_pred, score, spans of words by language (if keep_spans) and text (if keep_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,11 +280,16 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
                     columns.append(pa.array(_spans(model, words, post), kind))
                     names.append("spans")
+                if keep_text:
+                    columns.append(part.column("text"))
+                    names.append("text")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).alias("text"))
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(packed_row(docs, others), F.col(f"`{text_col}`").alias("text"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(run, schema + ", spans array<struct<start:bigint,end:bigint,lang:string>>" * keep_spans)
+    schema += ", spans array<struct<start:bigint,end:bigint,lang:string>>" * keep_spans + ", text string" * keep_text
+    return batched(rows, run, schema)
 
 
 def learn_from(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> LanguageModel:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerloom.llm._spark import batched
 from layerloom.llm._stats import slices
 
 UNIT, COLUMNS = 576, 24
@@ -374,4 +375,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of docs: id, the stored JPEGs (if keep_media), sizes, hashes and feature of what is read back."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_store(keep_media), f"id {kind}, {'media binary, ' * keep_media}{SCHEMA}").withColumnRenamed("id", id_col)
+    return batched(rows, _store(keep_media), f"id {kind}, {'media binary, ' * keep_media}{SCHEMA}").withColumnRenamed("id", id_col)

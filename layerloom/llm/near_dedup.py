@@ -18,8 +18,9 @@ no link between different texts that share a band is lost, and what is passed on
 At a similarity of 0.85 two texts share no band with probability 7e-9, at 0.8 with probability 3e-6.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and is its own component; a null id takes
-no part in links: component_id is null and kept is true. Rows that repeat an id count as one document: links between
-unequal sets are judged on the text with the smallest hash.
+no part in links: component_id is null and kept is true. Rows that repeat an id with equal texts share a component;
+with unequal texts each row takes that of its own text. If several texts have the same smallest id they count as one,
+and links to other texts are judged on the one with the smallest hash.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm._spark import cut, few
+from layerloom.llm._spark import batched, cut, few, hash_joins
 from layerloom.llm._words import U, buffers, mix, window_hashes, word_hashes, word_spans
 from layerloom.llm.components import components
 
@@ -214,8 +215,9 @@ def _xor_bits(a: str, b: str) -> Column:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (smallest linked id) and kept (id = component_id)."""
+    hash_joins(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    feats = cut(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_features(ngram), "id bigint, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>"))
+    feats = cut(batched(rows.withColumn("text_key", F.xxhash64("text")), _features(ngram), "id bigint, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>"))
     usable = feats.filter("id is not null and set_key is not null")
     classes = usable.groupBy("set_key").agg(F.min("id").alias("rep"))
     own = usable.select("id", "set_key", "text_key", "bands", "sketch", "n_shingles").join(classes.withColumnRenamed("set_key", "class_key"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("class_key")))
@@ -225,7 +227,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     spread = reps.select("rep", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("lead"), F.max_by("rep", F.xxhash64("rep")).alias("other"), F.count("*").alias("size")).filter("size > 1")
-    members = cut(spread.join(shared.drop("size"), "key"), waves=4)
+    members = cut(spread.join(shared.drop("size").hint("shuffle_hash"), "key"), waves=4)  # no sort of all bands
     sketches = reps.select("rep", "sketch")
     needed = members.select(F.col("rep").alias("id")).distinct()
     texts = rows.filter("id is not null and text is not null").join(needed, "id", "left_semi")
@@ -236,7 +238,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = first.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
     first = first.filter(_xor_bits("sketch_a", "sketch_b") <= limit).select("a", "b")
     first = first.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    links = cut(first.mapInArrow(_confirm(ngram, percent), "a bigint, b bigint"), waves=4)
+    links = cut(batched(first, _confirm(ngram, percent), "a bigint, b bigint"), waves=4)
     comps = components(links)
 
     labelled = members.select("key", F.col("rep").alias("id")).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))

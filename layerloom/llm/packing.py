@@ -26,6 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerloom.llm._spark import batched
 from layerloom.llm._stats import slices
 from layerloom.llm.bpe import PATTERN, Vocabulary
 
@@ -136,8 +137,8 @@ def best_fit_packing(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     columns = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    cut = rows.mapInArrow(_pieces(path, size, keep_ids), columns)
+    cut = batched(rows, _pieces(path, size, keep_ids), columns)
     n_groups = max(1, round(docs.count() / group))
-    dealt = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(n_groups)))
+    dealt = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(n_groups)))
     packed = dealt.groupBy("salt").applyInArrow(_pack(size), f"{columns}, sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("id", id_col)

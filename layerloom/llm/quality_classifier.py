@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerloom.llm._spark import packed_row
 from layerloom.llm._stats import RATIOS, labelled_ratios, ratios, with_counts
 
 #: Labelled rows to learn from, at most.
@@ -164,12 +165,12 @@ def learn_from(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> RuleE
     return learn(x, y)
 
 
-def quality_scores(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' other columns, the counts of the text, score and predicted."""
+def quality_scores(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs' other columns as `row`, the text (if keep_text), its counts, score and predicted."""
     others = [c for c in docs.columns if c != text_col]
-    score = model.column()
-    counted = with_counts(docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text")), "text")
-    return counted.withColumn("score", score).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    rows = docs.select(packed_row(docs, others), F.col(f"`{text_col}`").alias("text"))
+    counted = with_counts(rows, "text", keep_text)
+    return counted.withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 __all__ = ["RATIOS", "SAMPLE", "THRESHOLD", "RuleEnsemble", "learn", "learn_from", "quality_scores"]

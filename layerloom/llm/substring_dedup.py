@@ -1,7 +1,7 @@
 """Substring dedup: words covered by a window of words that also starts in a document with a smaller id go.
 
 Method: Rabin-Karp hashes of every window of `window` consecutive words. Documents are dealt into blocks by a hash of
-their id. Each block reduces its windows to one record for each distinct hash (hash, smallest id), so a passage that a
+their id and text. Each block reduces its windows to one record for each distinct hash (hash, smallest id), so a passage that a
 third of all documents share sends one record a block, not one a document. Records meet in ranges of the hash, where
 Spark counts in how many blocks each occurs; a block hears back only the hashes that some other block holds under a
 smaller id. It then marks repeated windows, merges them into maximal intervals of words and removes these.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm._spark import blocks
+from layerloom.llm._spark import blocks, bound_batches, few, packed_row
 from layerloom.llm._words import U, buffers, owners, window_hashes, windows_inside, word_hashes, word_spans
 
 WINDOW = 13
@@ -174,10 +174,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if window < 1:
         raise ValueError("window must be at least 1")
+    bound_batches(docs.sparkSession)
     n = n_blocks or blocks(docs, text_col)
-    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
-    dealt = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n))).repartition(n, "blk")
+    row = packed_row(docs, carry) if carry else F.lit(None).cast("int").alias("row")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), row)
+    dealt = rows.withColumn("blk", F.pmod(F.xxhash64("id", "text"), F.lit(n))).repartition(n, "blk")
     sent = dealt.groupBy("blk").applyInArrow(_emit(window, n), "bucket long, blk long, n long, packed binary")
     heard = sent.groupBy("bucket").applyInArrow(_repeated, "blk long, n long, packed binary")
     remove, empty = _remove(window, bool(carry)), pa.schema([("blk", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]).empty_table()
@@ -188,7 +189,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dealt.schema["row"].dataType.simpleString()
     schema = f"id bigint, row {kind}, {'text string, ' * bool(carry)}n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>"
     out = dealt.groupBy("blk").cogroup(heard.groupBy("blk")).applyInArrow(apply, schema)
-    return (out if carry else out.drop("row")).withColumnRenamed("id", id_col)
+    return few(out if carry else out.drop("row"), 4).withColumnRenamed("id", id_col)
 
 
 def reference(rows: list[tuple], window: int = WINDOW) -> dict:
