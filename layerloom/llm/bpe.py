@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerloom.llm._spark import batched
 from layerloom.llm._stats import slices
 
 #: Byte-level pre-tokens: contractions, words, numbers and signs with a space before, white space.
@@ -70,8 +71,11 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(everything), np.uint8)
 
 
-class Encoder:
+class Encoder(dict):
+    """An encoder, and the table of pre-tokens that it has met with their tokens as 32-bit integers."""
+
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.v = vocabulary
         self.longest = ahocorasick.Automaton()
         for token, i in vocabulary.ids.items():
@@ -80,7 +84,7 @@ class Encoder:
         self.size = {i: len(t) for i, t in vocabulary.tokens.items()}
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.most = max(self.size.values())
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
@@ -119,11 +123,20 @@ class Encoder:
         whole = self.v.ids.get(word)
         if whole is not None:
             return (whole,)
-        text, n, size = word.decode("latin-1"), len(word), self.size
-        longest = lambda at: next(self.longest.iter_long(text, at, min(n, at + 256)))[1]
+        text, n, size, pairs = word.decode("latin-1"), len(word), self.size, self.pairs
+        # Taking the longest token again and again is mostly right: all neighbours are compatible.
         out: list[int] = []
+        at, last, token = 0, -1, -1
+        for _, token in self.longest.iter_long(text):
+            if last >= 0 and not pairs.get((last, token), False) and not self.compatible(last, token):
+                break
+            out.append(token)
+            at += size[token]
+            last = token
+        if at == n:
+            return tuple(out)
+        longest = lambda at: next(self.longest.iter_long(text, at, min(n, at + self.most)))[1]
         dead: set[int] = set()
-        at, token = 0, longest(0)
         while True:
             last = out[-1] if out else -1
             while token >= 0 and (at + size[token] in dead or (last >= 0 and not self.compatible(last, token))):
@@ -139,25 +152,23 @@ class Encoder:
                 token = out.pop()
                 at -= size[token]
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        kept = self.kept
-        for piece in self.find(text):
-            ids = kept.get(piece)
-            if ids is None:
-                ids = self.word(piece.encode())
-                if len(piece) <= KEPT_LENGTH:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[piece] = ids
-            yield ids
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", self.word(piece.encode())).tobytes()
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> np.ndarray:
         if self.cut is None or not self.cut.search(text):
-            return np.fromiter(chain.from_iterable(self._plain(text)), np.uint32)
-        out: list[int] = []
-        for part in self.cut.split(text):
-            out += [self.v.special[part]] if part in self.v.special else chain.from_iterable(self._plain(part))
-        return np.array(out, np.uint32)
+            return np.frombuffer(self._plain(text), np.uint32)
+        special = self.v.special
+        parts = [array("I", [special[p]]).tobytes() if p in special else self._plain(p) for p in self.cut.split(text)]
+        return np.frombuffer(b"".join(parts), np.uint32)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         if not len(ids):
@@ -200,4 +211,4 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded string" + ", ids array<int>" * keep_ids
-    return rows.mapInArrow(_round_trip(path, keep_ids), schema).withColumnRenamed("id", id_col)
+    return batched(rows, _round_trip(path, keep_ids), schema).withColumnRenamed("id", id_col)

@@ -71,7 +71,7 @@ def test_the_table_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 5)
     monkeypatch.setattr(bpe, "PAIRS", 5)
     text = " ".join(odd_texts(200))
-    assert e.encode(text).tolist() == bpe.encoder(PATH).encode(text).tolist() and len(e.kept) <= 5 and len(e.pairs) <= 5
+    assert e.encode(text).tolist() == bpe.encoder(PATH).encode(text).tolist() and len(e) <= 5 and len(e.pairs) <= 5
 
 
 def test_round_trip_of_odd_rows(docs, odd_rows, library):
