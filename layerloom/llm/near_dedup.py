@@ -94,6 +94,9 @@ def most_different_bits(percent: int) -> int:
     return int(expected + 3 * (BITS / 4) ** 0.5 * 0.75) + 1
 
 
+FEATURES = "id bigint, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>"
+
+
 def _features(ngram: int):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,52 +216,79 @@ def _xor_bits(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id (smallest linked id) and kept (id = component_id)."""
-    hash_joins(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    feats = cut(batched(rows.withColumn("text_key", F.xxhash64("text")), _features(ngram), "id bigint, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>"))
+def _representatives(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(set_key, rep): the smallest id of each distinct set; and (rep, bands, sketch, n) of those ids."""
     usable = feats.filter("id is not null and set_key is not null")
     classes = usable.groupBy("set_key").agg(F.min("id").alias("rep"))
-    own = usable.select("id", "set_key", "text_key", "bands", "sketch", "n_shingles").join(classes.withColumnRenamed("set_key", "class_key"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("class_key")))
+    own = usable.join(classes.withColumnRenamed("set_key", "class_key"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("class_key")))
     one = own.groupBy("rep").agg(F.min_by(F.struct("bands", "sketch", F.col("n_shingles").alias("n")), "text_key").alias("one"))
-    reps = cut(one.select("rep", "one.bands", "one.sketch", "one.n"), waves=4)
-    limit = most_different_bits(percent)
+    return classes, cut(one.select("rep", "one.bands", "one.sketch", "one.n"), waves=4)
 
+
+def _bucket_members(reps: DataFrame) -> DataFrame:
+    """(key, rep, lead, other): the members of each bucket of several, with two leaders of it."""
     spread = reps.select("rep", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("rep").alias("lead"), F.max_by("rep", F.xxhash64("rep")).alias("other"), F.count("*").alias("size")).filter("size > 1")
-    members = cut(spread.join(shared.drop("size").hint("shuffle_hash"), "key"), waves=4)  # no sort of all bands
+    leaders = spread.groupBy("key").agg(F.min("rep").alias("lead"), F.max_by("rep", F.xxhash64("rep")).alias("other"), F.count("*").alias("size"))
+    shared = leaders.filter("size > 1").drop("size")
+    return cut(spread.join(shared.hint("shuffle_hash"), "key"), waves=4)  # no sort of all bands
+
+
+def _links_to_leaders(members: DataFrame, reps: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members and their buckets' leaders: no more candidates than members."""
     sketches = reps.select("rep", "sketch")
+    pairs = members.select("rep", F.explode(F.array("lead", "other")).alias("to")).filter("rep <> to")
+    pairs = pairs.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
+    pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+    pairs = pairs.filter(_xor_bits("sketch_a", "sketch_b") <= most_different_bits(percent)).select("a", "b")
+    full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return cut(batched(full, _confirm(ngram, percent), "a bigint, b bigint"), waves=4)
+
+
+def _labelled(ids: DataFrame, comps: DataFrame) -> DataFrame:
+    """ids with the component `comp` of each; a node without links is its own."""
+    found = ids.join(comps.withColumnRenamed("node", "id"), "id", "left")
+    return found.withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
+def _candidates(members: DataFrame, reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """A forest (a, b) of likely links across components, from the buckets that aren't connected yet."""
+    labelled = _labelled(members.select("key", F.col("rep").alias("id")), comps)
+    split = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    left = labelled.join(split.filter("low < high").select("key", "size"), "key")
+    word = lambda i: F.unhex(F.lpad(F.hex(F.element_at("sketch", i)), 16, "0"))
+    packed = reps.select(F.col("rep").alias("id"), F.concat(*[word(i) for i in range(1, BITS // 64 + 1)]).alias("packed"))
+    cells = _grid(left, "key", F.ceil(F.col("size") / PART)).join(packed, "id")
+    found = cells.groupBy("key", "x", "y").applyInArrow(_cross(most_different_bits(percent)), "a bigint, b bigint")
+    return cut(found.distinct(), waves=2)
+
+
+def _links_in_clusters(candidates: DataFrame, reps: DataFrame, texts: DataFrame, comps: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """A forest (a, b) of confirmed links across components, from comparing all members of each cluster."""
+    members = _labelled(components(candidates).toDF("id", "cluster"), comps).join(reps.select(F.col("rep").alias("id"), "n"), "id")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("size") / PART), F.ceil(F.col("shingles") / PART_SHINGLES))
+    cells = _grid(members.join(sizes, "cluster"), "cluster", parts).join(texts, "id")
+    return cells.groupBy("cluster", "x", "y").applyInArrow(_resolve(ngram, percent), "a bigint, b bigint")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id (smallest linked id) and kept (id = component_id)."""
+    hash_joins(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    feats = cut(batched(rows.withColumn("text_key", F.xxhash64("text")), _features(ngram), FEATURES))
+    classes, reps = _representatives(feats)
+    members = _bucket_members(reps)
     needed = members.select(F.col("rep").alias("id")).distinct()
     texts = rows.filter("id is not null and text is not null").join(needed, "id", "left_semi")
     texts = cut(texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), waves=4)
 
-    first = members.select(F.col("rep"), F.explode(F.array("lead", "other")).alias("to")).filter("rep <> to")
-    first = first.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
-    first = first.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
-    first = first.filter(_xor_bits("sketch_a", "sketch_b") <= limit).select("a", "b")
-    first = first.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    links = cut(batched(first, _confirm(ngram, percent), "a bigint, b bigint"), waves=4)
+    links = _links_to_leaders(members, reps, texts, ngram, percent)
     comps = components(links)
-
-    labelled = members.select("key", F.col("rep").alias("id")).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    split = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
-    open_ = labelled.join(split, "key").select("key", "id", "comp", "size")
-    little = lambda i: F.unhex(F.lpad(F.hex(F.element_at("sketch", i)), 16, "0"))
-    packed = reps.select(F.col("rep").alias("id"), F.concat(*[little(i) for i in range(1, BITS // 64 + 1)]).alias("packed"))
-    cells = _grid(open_, "key", F.ceil(F.col("size") / PART)).join(packed, "id")
-    candidates = cut(cells.groupBy("key", "x", "y").applyInArrow(_cross(limit), "a bigint, b bigint").distinct(), waves=2)
+    candidates = _candidates(members, reps, comps, percent)
     if not candidates.isEmpty():
-        clusters = components(candidates).toDF("id", "cluster")
-        members = clusters.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        members = members.join(reps.select(F.col("rep").alias("id"), "n"), "id")
-        sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
-        parts = F.greatest(F.ceil(F.col("size") / PART), F.ceil(F.col("shingles") / PART_SHINGLES))
-        cells = _grid(members.join(sizes, "cluster"), "cluster", parts).join(texts, "id")
-        more = cells.groupBy("cluster", "x", "y").applyInArrow(_resolve(ngram, percent), "a bigint, b bigint")
-        comps = components(links.unionAll(more))
-
-    in_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("of_class"))
+        comps = components(links.unionAll(_links_in_clusters(candidates, reps, texts, comps, ngram, percent)))
+
+    in_class = _labelled(classes.withColumnRenamed("rep", "id"), comps).select("set_key", F.col("comp").alias("of_class"))
     out = feats.select("id", "n_shingles", "set_key").join(in_class, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("of_class", "id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
