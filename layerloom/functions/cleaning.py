@@ -19,14 +19,14 @@ _HIDDEN = "".join(chr(0xE000 + i) for i in range(len(_GROWING)))
 
 def upper(x: Column) -> Column:
     """Upper case letter by letter: the length never changes and a sharp s becomes its capital."""
-    plain = F.upper(F.translate(x, "ß", "ẞ"))
+    plain = F.upper(F.replace(x, F.lit("ß"), F.lit("ẞ")))
     kept = F.translate(F.upper(F.translate(x, "ß" + _GROWING, "ẞ" + _HIDDEN)), _HIDDEN, _GROWING)
-    return F.when(x.rlike(f"[{_GROWING}]"), kept).otherwise(plain)
+    return F.when(F.char_length(plain) == F.char_length(x), plain).otherwise(kept)
 
 
 def lower(x: Column) -> Column:
     """Lower case letter by letter, whatever stands around."""
-    return F.lower(F.translate(x, "İΣ", "iσ"))
+    return F.lower(F.replace(F.replace(x, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
 
 
 def result_type(kind: str, op: m.ColumnOperation) -> str:
