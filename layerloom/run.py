@@ -65,7 +65,7 @@ class _Progress:
 
 def identity(scenario: m.Scenario, seed: int) -> str:
     """The hash that instances are known by: the document's meaning, the seed and the versions that make the rows."""
-    parts = {"scenario": document.content_hash(scenario), "seed": seed, "engine": layerloom.__version__, "spark": pyspark.__version__, "layout": 1}
+    parts = {"scenario": document.content_hash(scenario), "seed": seed, "engine": layerloom.__version__, "spark": pyspark.__version__, "layout": 2}
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from layerloom.errors import StageError
 from layerloom.plans.resolved import Link, ResolvedPlan
-from layerloom.sources.domains import VAST, domain_size
+from layerloom.sources.domains import VAST, possible
 from layerloom.sources.random import stream
 from layerloom.spec import model as m
 
@@ -47,7 +47,7 @@ def unit_size(unit: tuple[str, ...], table: m.RawTable, links: tuple[Link, ...],
     from layerloom.sources.values import lattice_size  # dates, timestamps and decimals have sizes too
 
     g = next(c.generator for c in table.columns if c.name == unit[0])
-    return domain_size(g) or lattice_size(g)
+    return possible(g) or lattice_size(g)
 
 
 def rooms(plan: ResolvedPlan) -> list[Room]:
@@ -68,8 +68,7 @@ def rooms(plan: ResolvedPlan) -> list[Room]:
                     room = VAST if size is None else min(VAST, room * size)
                 return room
 
-            if parents:
-                out.append((table.name, parents, product))
+            out.append((table.name, parents, product))
     return out
 
 

@@ -24,3 +24,13 @@ def domain_size(g: m.Record) -> int | None:
         case _:
             return None
     return max(0, min(size, VAST))
+
+
+def possible(g: m.Record) -> int | None:
+    """As domain_size, without values that have no weight or no chance."""
+    match g:
+        case m.Categorical() if g.weights is not None:
+            return sum(w > 0 for w in g.weights)
+        case m.BooleanDraw():
+            return 1 + (0 < g.true_probability < 1)
+    return domain_size(g)

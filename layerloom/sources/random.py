@@ -66,3 +66,23 @@ def permuted(i: Column, n: int, key: int) -> Column:
 
     steps = F.sequence(F.lit(0), F.lit(min(a * b - n, WALK)))
     return F.aggregate(steps, i.cast("bigint"), lambda v, k: F.when((k > 0) & (v < n), v).otherwise(once(v)))
+
+
+def permuted_product(i: Column, sizes: list[int], key: int) -> Column:
+    """The places of row i in a random permutation of a product of domains, as an array of one place for each domain.
+
+    The product may have any size. The row's digits in these bases are each permuted, and then every digit in turn is
+    moved by a hash of the others: each step can be undone, so tuples stay distinct, and every place of a domain is drawn.
+    """
+    digits, step = [], 1
+    for k, size in enumerate(sizes):
+        digit = F.pmod(F.call_function("div", i, F.lit(step).cast("bigint")), F.lit(size).cast("bigint")) if step < 1 << 62 else F.lit(0).cast("bigint")
+        digits.append(permuted(digit, size, stream("", key, f"digit/{k}")))
+        step *= size
+
+    def round_(p: Column, r: Column) -> Column:
+        turn = F.pmod(r, F.lit(len(sizes)))
+        moved = [F.pmod(p[k] + below(size, key, r, *[p[j] for j in range(len(sizes)) if j != k]), F.lit(size).cast("bigint")) for k, size in enumerate(sizes)]
+        return F.array(*[F.when(turn == k, moved[k]).otherwise(p[k]) for k in range(len(sizes))])
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * len(sizes) - 1)), F.array(*digits), round_)

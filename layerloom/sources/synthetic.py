@@ -7,16 +7,19 @@ keys of their parent, which is numbered densely, and are joined on it; unique va
 
 from __future__ import annotations
 
+import math
 from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from layerloom.errors import StageError
 from layerloom.functions.expressions import name
 from layerloom.plans.resolved import Link, ResolvedPlan
 from layerloom.sources.counts import key_units, row_counts, units, without_replacement
-from layerloom.sources.random import below, permuted, stream, uniform
-from layerloom.sources.values import at_index, capacity, distinct, drawn, templated
+from layerloom.sources.domains import VAST, possible
+from layerloom.sources.random import below, permuted, permuted_product, stream, uniform
+from layerloom.sources.values import capacity, distinct, drawn, possible_at, templated
 from layerloom.spec import model as m
 from layerloom.types import SPARK_TYPES
 
@@ -101,7 +104,7 @@ class _Builder:
         column = next(c for c in table.columns if c.name == unit[0])
         g = column.generator
         if unit in key_index:
-            value = at_index(g, key_index[unit])
+            value = possible_at(g, key_index[unit])
         elif isinstance(g, m.Template):
             value = templated(g, {c.name: c.type for c in table.columns})
         elif column.unique or table.primary_key == (column.name,):
@@ -112,7 +115,7 @@ class _Builder:
         self.frames[table.name] = self.frames[table.name].withColumn(column.name, value)
 
     def composite(self, table: m.RawTable) -> dict[tuple[str, ...], Column]:
-        """Indexes for the units of a key of several: a permutation of their product, taken apart again."""
+        """Indexes for the units of a key of several: a permutation of their whole product, taken apart again or, if vast, made in parts."""
         key = key_units(table, self.plan.links)
         if len(key) < 2 or any(isinstance(c.generator, m.FormattedId) for c in table.columns if (c.name,) in key):
             return {}
@@ -123,11 +126,13 @@ class _Builder:
             size = self.universe(link)[1] if link else capacity(g)
             if not size:
                 return {}
-            sizes.append(size)
-        room = 1
-        for k, size in enumerate(sizes):  # vast domains are taken in part, so that the product can be counted
-            sizes[k] = max(1, min(size, (1 << 52) // room))
-            room *= sizes[k]
+            sizes.append(size if link else min(size, possible(g) or VAST, VAST))
+        room, n = math.prod(sizes), self.counts[table.name]
+        if room < n:
+            raise StageError("generate", f"{table.name}: {room} keys for {n} rows")
+        if room > VAST:  # more than can be counted
+            places = permuted_product(F.col(ROW), sizes, self.key(table.name, "key"))
+            return {unit: places[k] for k, unit in enumerate(key)}
         place = permuted(F.col(ROW), room, self.key(table.name, "key"))
         out, step = {}, 1
         for unit, size in zip(key, sizes, strict=True):

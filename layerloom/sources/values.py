@@ -79,6 +79,17 @@ def at_index(g: m.Record, index: Column) -> Column:
     raise TypeError(f"{g.kind} has no indexed domain")
 
 
+def possible_at(g: m.Record, index: Column) -> Column:
+    """The value with an index among those that have a weight or a chance."""
+    match g:
+        case m.Categorical() if g.weights is not None:
+            live = [literal(v) for v, w in zip(g.values, g.weights, strict=True) if w > 0]
+            return F.element_at(F.array(*live), (index + 1).cast("int"))
+        case m.BooleanDraw() if not 0 < g.true_probability < 1:
+            return F.lit(g.true_probability > 0)
+    return at_index(g, index)
+
+
 def _letters(alphabet: str, index: Column, n: int) -> Column:
     """index in base len(alphabet) as n letters; letters beyond what any index needs follow from a hash of it."""
     k = len(alphabet)
@@ -209,4 +220,4 @@ def templated(g: m.Template, kinds: dict[str, str]) -> Column:
     return F.concat(*parts, F.lit(g.template[at:]))
 
 
-__all__ = ["at_index", "capacity", "distinct", "drawn", "lattice_size", "templated"]
+__all__ = ["at_index", "capacity", "distinct", "drawn", "lattice_size", "possible_at", "templated"]

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import math
 from collections import Counter
 
 import pytest
@@ -10,7 +11,7 @@ from layerloom.operators import checks
 from layerloom.plans import resolve
 from layerloom.sources import parquet
 from layerloom.sources.counts import row_counts
-from layerloom.sources.random import permuted, stream, uniform
+from layerloom.sources.random import permuted, permuted_product, stream, uniform
 from layerloom.sources.synthetic import synthesise
 from layerloom.sources.values import at_index, distinct, drawn, lattice_size
 from layerloom.spec import document
@@ -137,6 +138,48 @@ def test_one_to_one_takes_each_parent_once(spark, scenario):
     assert loans.select("reader_id").distinct().count() == loans.count()
 
 
+LONG = {"kind": "random_string", "min_length": 12, "max_length": 12}
+YEAR = {"kind": "timestamp_range", "min": "2024-01-01T00:00:00+00:00", "max": "2024-12-31T00:00:00+00:00"}
+LEVEL = {"kind": "categorical", "values": ["a", "b", "never"], "weights": [1.0, 1.0, 0.0]}
+
+
+@pytest.mark.parametrize("parts", [{"note": ("string", LONG)}, {"at": ("timestamp", YEAR)}, {"note": ("string", LONG), "at": ("timestamp", YEAR)}, {"level": ("string", LEVEL), "on": ("boolean", {"kind": "boolean", "true_probability": 0.0})}])
+@pytest.mark.parametrize("first", [True, False])
+def test_no_part_of_a_key_is_cut(spark, scenario, parts, first):
+    """Strings, times and guides in either order: all guides and tours occur, times are from all months, tuples differ."""
+    s = scenario("tours_guides_001")
+    table, n = s["raw_tables"][2], 300
+    table["rows"] = {"min": n, "max": n}
+    extra = [{"name": c, "type": kind, "generator": g} for c, (kind, g) in parts.items()]
+    table["columns"] = extra + table["columns"] if first else table["columns"] + extra
+    table["primary_key"] = [c["name"] for c in table["columns"] if c["name"] in (*parts, "guide_id", "tour_id")]
+    s["staging_models"][2]["columns"] += [{"source": c, "target": c} for c in parts]
+    s["staging_models"][2]["row_operations"][0]["order_by"] += [{"column": c} for c in parts]
+    built, counts = synthesise(spark, plan_of(s), 0)
+    rows = built["raw_assignments"].collect()
+    assert len(rows) == n == len({tuple(r[c] for c in table["primary_key"]) for r in rows})
+    assert len({r["guide_id"] for r in rows}) == counts["raw_guides"] and len({r["tour_id"] for r in rows}) == counts["raw_tours"]
+    if "at" in parts:
+        assert {r["at"].month for r in rows} == set(range(1, 13))
+    if "note" in parts:
+        assert len({r["note"][0] for r in rows}) > 25
+    if "level" in parts:
+        assert {(r["level"], r["on"]) for r in rows} == {("a", False), ("b", False)}
+
+
+@pytest.mark.parametrize("sizes", [[7, 5, 3], [2, 60], [1, 4], [11, 1, 2]])
+def test_products_are_permuted_as_a_whole(spark, sizes):
+    n = math.prod(sizes)
+    found = [tuple(x) for x in values(spark, n, lambda i: permuted_product(i, sizes, 5))]
+    assert len(set(found)) == n and all(0 <= x < size for row in found for x, size in zip(row, sizes, strict=True))
+
+
+def test_vast_products_are_drawn_whole(spark):
+    sizes = [1 << 62, 2, 1 << 52]
+    found = [tuple(x) for x in values(spark, 2000, lambda i: permuted_product(i, sizes, 5))]
+    assert len(set(found)) == 2000 and all(900 < sum(x[k] >= size // 2 for x in found) < 1100 for k, size in enumerate(sizes))
+
+
 def test_no_room_for_keys_is_an_error(spark, scenario):
     s = scenario("tours_guides_001")
     s["raw_tables"][2]["rows"] = {"min": 400, "max": 500}
