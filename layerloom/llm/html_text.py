@@ -2,8 +2,10 @@
 
 Method. A tolerant reader builds a tree: void and self-ending elements, implied ends of paragraphs and list items,
 stray end tags and a page that breaks off are all accepted; scripts, styles and comments never become text. Elements
-that are boilerplate by kind (nav, footer, form, ...) or by the words in their class, id or role (menu, sidebar, ad,
-cookie, comment, ...) are dropped with all they hold, unless they are the article itself. Each block of text gives
+that are boilerplate by kind (nav, footer, ...) or role are dropped with all they hold. Forms and elements with a
+boilerplate word in class or id (menu, sidebar, ad, cookie, comment, ...) are dropped unless they are marked as the
+main text or hold most of the page's unlinked text; words after no-, has- or with- don't count, nor does a header's
+inside the article. Comments, advertisements and the like stay only where nothing else is left. Each block of text gives
 points for its length and its commas to its parent and half of them to its grandparent; a container's points are
 discounted by the share of its text that is in links. The best container is kept, and of its siblings those that are
 paragraphs of prose or score a fair part of the best. Its blocks are joined in page order.
@@ -31,7 +33,7 @@ from layerloom.llm._stats import slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("script style template noscript iframe object embed svg canvas head title nav footer aside form button select option input textarea dialog menu audio video map".split())
+DROPPED = frozenset("script style template noscript iframe object embed svg canvas head title nav footer aside button select option input textarea dialog menu audio video map".split())
 CLOSES_P = BLOCKS - frozenset("body html li dd dt td th tr tbody thead tfoot".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table article section div body html td th".split())
@@ -41,6 +43,11 @@ BOILERPLATE = re.compile(
     r"toolbar|copyright|legal|disclaimer|search)(?:$|[\s_-])",
     re.I,
 )
+# Words of elements that have a text of their own, which may be longer than the page's.
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|cookie\w*|consent|gdpr|newsletter|subscri\w*|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|copyright|disclaimer)(?:$|[\s_-])", re.I)
+MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:no|not|non|has|have|with|without|hide|show)[_-]+[^\s_-]+", re.I)
+HEADERS = re.compile(r"(?:^|(?<=[\s_-]))header(?=$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|story|entry|body|text)(?:$|[\s_-])", re.I)
 
@@ -51,19 +58,19 @@ _SPACE = re.compile(r"[\s​﻿]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "main", "score", "size", "linked")
+    __slots__ = ("tag", "parent", "children", "drop", "main", "doubt", "score", "size", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False, main: bool = False):
-        self.tag, self.parent, self.drop, self.main = tag, parent, drop, main
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, main: bool = False, doubt: str = ""):
+        self.tag, self.parent, self.drop, self.main, self.doubt = tag, parent, drop, main, doubt
         self.children: list[Node | str] = []
         self.score, self.size, self.linked = 0.0, 0, 0
 
 
-def _kind(tag: str, raw: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate and whether it is marked as the main text."""
-    main = tag in ("article", "main")
+def _kind(tag: str, raw: str, inside_main: bool) -> tuple[bool, bool, str]:
+    """Whether an element is boilerplate, whether it is marked as the main text, and why it may be boilerplate."""
+    main, doubt = tag in ("article", "main"), tag if tag == "form" else ""
     if tag in DROPPED or (tag == "header" and not inside_main):
-        return True, False
+        return True, False, ""
     if "=" in raw or "hidden" in raw:
         named = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)}
         label = " ".join(named.get(k, "") for k in ("class", "id"))
@@ -73,11 +80,16 @@ def _kind(tag: str, raw: str, inside_main: bool) -> tuple[bool, bool]:
             or _HIDDEN.search(named.get("style", ""))
             or re.search(r"(?:^|\s)hidden(?:$|[\s=])", re.sub(r"\"[^\"]*\"|'[^']*'", "", raw))
         ):
-            return True, False
-        if label and tag not in ("body", "html") and not main and BOILERPLATE.search(label):
-            return True, False
-        main = main or bool(label and MAIN.search(label)) or named.get("role", "").lower() == "main"
-    return False, main
+            return True, False, ""
+        words = MODIFIED.sub("", label).split()
+        if named.get("role", "").lower() == "main":
+            return False, True, ""
+        bad = [w for w in words if BOILERPLATE.search(HEADERS.sub("", w) if inside_main or MAIN.search(w) else w)]
+        marked = any(MAIN.search(w) and not BOILERPLATE.search(w) for w in words)
+        if bad and tag not in ("body", "html") and not main and not (marked and not any(BOILERPLATE.fullmatch(w) for w in bad)):
+            doubt = " ".join(bad)
+        main = main or marked
+    return False, main, doubt
 
 
 def parse(page: str) -> Node:
@@ -125,8 +137,8 @@ def parse(page: str) -> Node:
                     here = node.parent
             if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in _line(here))):
                 continue
-            drop, main = _kind(tag, raw, inside_main > 0)
-            node = Node(tag, here, drop, main)
+            node = Node(tag, here, *_kind(tag, raw, inside_main > 0))
+            main = node.main
             here.children.append(node)
             if tag in RAW and not raw.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -182,6 +194,53 @@ def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def _doubted(root: Node) -> list[Node]:
+    """The elements that may be boilerplate, outer ones first."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.doubt:
+            out.append(node)
+        stack += [c for c in reversed(node.children) if isinstance(c, Node) and not c.drop]
+    return out
+
+
+def settle(root: Node) -> list[tuple[Node, str, int]]:
+    """The blocks that are left when elements in doubt are dropped, except those that hold most of the page's text.
+
+    Links and headings don't count as text. An element in doubt stays if it has more than half of the page's text and
+    more than four times what is marked as main text outside of it, or, within the main text, all headings of the first
+    level; a foreign one stays only if there is no other text.
+    """
+    doubted, blocks = _doubted(root), blocks_of(root)
+    if not doubted:
+        return blocks
+    texts, held, total = [], dict.fromkeys(map(id, doubted), 0), 0
+    tops = [{id(x) for x in _line(owner)} for owner, _, _ in blocks if owner.tag == "h1"]
+    for owner, text, linked in blocks:
+        size = len(text) - linked if owner.tag not in HEADINGS else 0
+        within = [x for x in _line(owner) if x.doubt]
+        marked = any(x.main and not x.doubt for x in _line(owner))
+        texts.append((size, marked, within))
+        total += size
+        for x in within:
+            held[id(x)] += size
+    for node in doubted:
+        own = held[id(node)]
+        if FOREIGN.search(node.doubt):
+            node.drop = own < total or not own
+        elif tops and all(id(node) in x for x in tops) and any(x.main for x in _line(node.parent)):
+            continue
+        else:
+            node.drop = 2 * own <= total or own <= 4 * sum(size for size, marked, within in texts if marked and node not in within and not any(x.drop for x in within))
+    left = blocks_of(root)
+    if not left:  # nothing but elements in doubt
+        for node in doubted:
+            node.drop = False
+        return blocks
+    return left
+
+
 def _containers(owner: Node) -> list[Node]:
     """The containers that a block's points go to: its parent and grandparent, or itself if it is a container."""
     first = owner if owner.tag in ("div", "article", "section", "main", "body", "td", "html", "blockquote") else owner.parent or owner
@@ -192,12 +251,12 @@ def extract(page: str | None) -> str:
     """The main text of a page: its blocks, one a line."""
     if not page or not page.strip():
         return ""
-    blocks = blocks_of(parse(page))
+    blocks = settle(parse(page))
     if not blocks:
         return ""
     scored: dict[int, Node] = {}
     for owner, text, linked in blocks:
-        heading = owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading = owner.tag in HEADINGS
         points = 0.25 if heading else 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
         for share, node in zip((1.0, 0.5), _containers(owner), strict=False):
             if id(node) not in scored:

@@ -33,6 +33,35 @@ def test_extraction(page):
     assert ht.extract(page) == CASES[page]
 
 
+STORY = "<p>One long sentence, with commas, tells of the day.</p><p>Another goes on, and on, until it ends.</p>"
+TOLD = "One long sentence, with commas, tells of the day.\nAnother goes on, and on, until it ends."
+ASIDE = '<div class="widget"><p>Popular, new, free.</p></div>'
+MARKED = {
+    f'<div id=content class=no-sidebar>{STORY}</div>{ASIDE}': TOLD,
+    f'<div class="main-content has-sidebar">{STORY}</div><div class=sidebar><p>Buy, buy, buy.</p></div>': TOLD,
+    f'<div class="post has-comments">{STORY}<div class=comments><p>So, so, so.</p></div></div>': TOLD,
+    f'<div id=content class="sidebar-right">{STORY}</div><div class=footer>f, f, f, f</div>': TOLD,
+    f'<article><div class=entry-header><h1>Title</h1></div>{STORY}</article>': f"Title\n{TOLD}",
+    f'<article><div class=header><h1>Title</h1></div><div class=entry-content>{STORY}</div><div class=share>Share, now</div></article>': f"Title\n{TOLD}",
+    f'<body><form id=aspnetForm action="/"><input name=x><nav>Home</nav><div>{STORY}</div><div class=sidebar>Buy, buy</div></form>': TOLD,
+    f'<div role=main class=widget>{STORY}</div><form><p>Your name, please.</p></form>': TOLD,
+    f'<div class="page-banner"><div>{STORY}</div></div><div><p>Read more</p></div>': TOLD,
+    f'<article>{STORY}</article><div class="comments">{STORY * 20}</div>': TOLD,
+    f'<div>{STORY}</div><div class="comments">{STORY * 20}</div>': TOLD,
+    f'<form><article>{STORY}</article><div class="comment-body">{STORY * 20}</div></form>': TOLD,
+    f'<div class="main-nav">{ASIDE}Home, sweet, home</div><div>{STORY}</div>': TOLD,
+    f'<div class="ad content"><p>Buy, buy, buy, buy, buy.</p></div><div>{STORY}</div>': TOLD,
+    f'<div class=comments>{STORY}</div>': TOLD,
+    '<div class=sidebar><p>a, b</p></div><div class=widget><p>c, d</p></div>': "a, b",
+    f'<article><div class="title-banner"><h1>Title</h1></div>{STORY}</article>': f"Title\n{TOLD}",
+}
+
+
+@pytest.mark.parametrize("page", MARKED, ids=range(len(MARKED)))
+def test_main_text_in_elements_with_boilerplate_words(page):
+    assert ht.extract(page) == MARKED[page]
+
+
 def test_deep_and_long_pages():
     assert ht.extract("<div>" * 4000 + "deep" + "</div>" * 4000) == "deep"
     assert len(ht.extract("<p>" + "a, " * 200_000)) == 599_999
