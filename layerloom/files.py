@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession
 
 
@@ -64,6 +66,21 @@ class Store:
                 out[name] = s.getLen()
         return dict(sorted(out.items()))
 
+    def digests(self, path: str, files: list[str]) -> dict[str, str]:
+        """SHA-256 of files below a folder, streamed, several at a time."""
+        digest = self._jvm.org.apache.commons.codec.digest.DigestUtils
+
+        def one(name: str) -> str:
+            fs, p = self._at(f"{path}/{name}")
+            found = fs.open(p)
+            try:
+                return digest.sha256Hex(found)
+            finally:
+                found.close()
+
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            return dict(zip(files, pool.map(one, files), strict=True))
+
     def copy(self, path: str, to: str) -> None:
         fs, p = self._at(path)
         target_fs, target = self._at(to)

@@ -156,6 +156,7 @@ def build(spark: SparkSession, plan: ResolvedPlan, seed: int, path: str, progres
     }
     store.write(f"{path}/scenario.json", document.canonical(scenario).decode())
     record["files"] = {f: n for f, n in store.files(path).items() if f != "record.json"}
+    record["sha256"] = store.digests(path, list(record["files"]))
     store.write(f"{path}/record.json", json.dumps(record, indent=1, sort_keys=True))
     store.write(f"{path}/SUCCESS", record["identity"])
     return record
@@ -166,7 +167,7 @@ def _first_line(e: Exception) -> str:
 
 
 def verified(store: Store, path: str, wanted: str) -> dict | None:
-    """The record of a complete instance whose files are all there with their sizes; None otherwise."""
+    """The record of a complete instance whose files are all there with their sizes and SHA-256; None otherwise."""
     if not store.exists(f"{path}/SUCCESS"):
         return None
     try:
@@ -176,6 +177,7 @@ def verified(store: Store, path: str, wanted: str) -> dict | None:
         scenario = store.read(f"{path}/scenario.json").encode()
         found = store.files(path)
         whole = all(found.get(f) == n for f, n in record["files"].items())
+        whole = whole and store.digests(path, list(record["files"])) == record["sha256"]
         return record if whole and hashlib.sha256(scenario).hexdigest() == record["scenario_sha256"] else None
     except (ValueError, KeyError):
         return None

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 
@@ -54,6 +55,22 @@ def test_it_is_found_again_but_not_if_broken(spark, built, scenario):
     assert run.verified(store, f"{root}/copy2", wanted) is None
 
 
+def test_a_table_file_of_the_same_size_is_noticed(spark, built):
+    root, instance = built
+    store, work = Store(spark), f"{root}/copy3"
+    store.copy(instance.path, work)
+    assert run.verified(store, work, instance.record["identity"])
+    name = next(f for f in instance.record["files"] if f.startswith("models/j_full/"))
+    path = Path(work, name)
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 1
+    path.unlink()
+    path.with_name(f".{path.name}.crc").unlink(missing_ok=True)  # as if another program had replaced it
+    path.write_bytes(data)
+    assert path.stat().st_size == instance.record["files"][name]
+    assert run.verified(store, work, instance.record["identity"]) is None
+
+
 def test_identity_depends_on_meaning_and_seed(scenario):
     a = document.parse(source(scenario()))
     assert run.identity(a, 0) == run.identity(document.parse(document.canonical(a)), 0) != run.identity(a, 1)
