@@ -37,9 +37,9 @@ def uniform(key: int, *counters: Column) -> Column:
 
 
 def _sides(n: int) -> tuple[int, int]:
-    """a * b >= n with as little to spare as a short search near the root finds."""
+    """a * b >= n, both near the root, with as little to spare as a short search finds: a side of 1 would only shift."""
     root = math.isqrt(max(0, n - 1)) + 1
-    return min(((a, -(-n // a)) for a in range(max(1, root - 200), root + 1)), key=lambda s: (s[0] * s[1] - n, -s[0]))
+    return min(((a, -(-n // a)) for a in range(max(root - 200, root - root // 4, 1), root + 1)), key=lambda s: (s[0] * s[1] - n, -s[0]))
 
 
 def permuted(i: Column, n: int, key: int) -> Column:

@@ -37,6 +37,14 @@ def test_permutations_are_exact(spark, n):
     assert n < 50 or found != values(spark, n, lambda i: permuted(i, n, 43))
 
 
+@pytest.mark.parametrize("n", [97, 997, 10007, 39989])
+def test_permutations_of_prime_domains_are_no_shifts(spark, n):
+    found = values(spark, n, lambda i: permuted(i, n, 42))
+    assert sorted(found) == list(range(n))
+    assert sum((b - a) % n == 1 for a, b in zip(found, found[1:], strict=False)) < 10
+    assert len({(b - a) % n for a, b in zip(found, found[1:], strict=False)}) > n // 3
+
+
 def test_vast_permutations_have_no_repeats(spark):
     assert len(set(values(spark, 5000, lambda i: permuted(i, 1 << 61, 7)))) == 5000
 
