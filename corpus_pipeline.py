@@ -15,15 +15,18 @@ from layerloom.llm.near_dedup import near_dedup
 from layerloom.llm.packing import best_fit_packing
 from layerloom.llm.substring_dedup import substring_dedup
 
+#: Of the way from chance to certainty that the words of a document must come on average, each in its own language.
+SURE = 1 / 6
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those whose language is hardly likelier than chance."""
+    """Rejects documents without letters and those whose words show no language: a mix of languages is no fault."""
     model = language_id.learn_from(docs, ~held_out("doc_id"))
-    found = language_id.identify(docs, model, keep_spans=False, keep_text=True)
-    least = 1.5 / max(1, len(model.languages)) if len(model.languages) > 1 else 0.0
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    found = language_id.identify(docs, model, keep_spans=False, keep_text=True, keep_certainty=True)
+    chance = 1 / max(1, len(model.languages))
+    least = chance + SURE * (1 - chance) if len(model.languages) > 1 else 0.0
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("certainty") >= least))
     return few(kept.select("row.*", "text").select(docs.columns))
 
 

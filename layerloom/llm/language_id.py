@@ -268,8 +268,16 @@ def _spans(model: LanguageModel, words: Words, post: np.ndarray) -> list[list[di
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_spans: bool = True, keep_text: bool = False) -> DataFrame:
-    """docs' other columns as `row`, lang_pred, score, spans of words by language (if keep_spans) and text (if keep_text)."""
+def _certainty(words: Words, post: np.ndarray) -> np.ndarray:
+    """Of each text: the mean probability of its words' own most likely languages, whichever they are; 0 without words."""
+    counted = words.lettered[words.kinds]
+    total = np.concatenate([[0.0], np.cumsum(post.max(axis=1) * counted, dtype=float)]) if post.size else np.zeros(len(counted) + 1)
+    count = np.concatenate([[0], np.cumsum(counted)])
+    return (total[words.bounds[1:]] - total[words.bounds[:-1]]) / np.maximum(1, count[words.bounds[1:]] - count[words.bounds[:-1]])
+
+
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_spans: bool = True, keep_text: bool = False, keep_certainty: bool = False) -> DataFrame:
+    """docs' other columns as `row`, lang_pred, score, and what is kept: spans of words by language, text, certainty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,12 +291,15 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
                 if keep_text:
                     columns.append(part.column("text"))
                     names.append("text")
+                if keep_certainty:
+                    columns.append(pa.array(_certainty(words, post)))
+                    names.append("certainty")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(packed_row(docs, others), F.col(f"`{text_col}`").alias("text"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    schema += ", spans array<struct<start:bigint,end:bigint,lang:string>>" * keep_spans + ", text string" * keep_text
+    schema += ", spans array<struct<start:bigint,end:bigint,lang:string>>" * keep_spans + ", text string" * keep_text + ", certainty double" * keep_certainty
     return batched(rows, run, schema)
 
 

@@ -78,6 +78,19 @@ def test_stages_take_odd_rows(spark, docs, odd_rows):
         assert stage(spark, df.limit(0), DATA).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_clean_mixed_texts_stay(spark, docs, n):
+    """Documents of halves, or of equal parts of all languages, are kept however many languages there are."""
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null")
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())[:n]
+    known = known.filter(known["lang"].isin(languages)).select(COLUMNS)
+    some = {c: [r["text"] for r in known.filter(known["lang"] == c).filter("n_chars between 800 and 4000").orderBy("doc_id").limit(6).collect()] for c in languages}
+    mixed = [(10**9 + k, "\n".join(" ".join(t.split()[:100]) for t in parts)) for k, parts in enumerate(zip(*some.values(), strict=True))]
+    rows = docs([*mixed, (10**9 + 50, "12 34 -- 56")])
+    kept = cp.identify_language(spark, known.unionByName(rows), DATA).filter("doc_id >= 1000000000")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in mixed}
+
+
 def test_every_operator_has_one_query():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
