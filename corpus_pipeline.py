@@ -1,6 +1,12 @@
 """A corpus pipeline of five stages over the documents table: what each keeps or changes is the next one's input.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+
+Defined cases, in every stage: columns besides doc_id, text, lang and n_chars are carried along whatever their names; an
+empty table gives an empty table with the stage's columns; repeated rows count as rows and are treated alike; very long
+texts are worked on whole. Null and empty texts have no letter, so language identification rejects them; where a later
+stage is given some, near-duplicate removal and substring removal leave them as they are and packing takes them as one
+end token. A row without id is kept by near-duplicate and substring removal and is packed like any other.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerloom.llm import language_id, quality_classifier
-from layerloom.llm._spark import cut, few, held_out
+from layerloom.llm._spark import cut, held_out
 from layerloom.llm.near_dedup import near_dedup
 from layerloom.llm.packing import best_fit_packing
 from layerloom.llm.substring_dedup import substring_dedup
@@ -27,20 +33,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     chance = 1 / max(1, len(model.languages))
     least = chance + SURE * (1 - chance) if len(model.languages) > 1 else 0.0
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("certainty") >= least))
-    return few(kept.select("row.*", "text").select(docs.columns))
+    return kept.select("row.*", "text").select(docs.columns)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the rule ensemble scores below its threshold."""
     model = quality_classifier.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_classifier.quality_scores(docs, model, keep_text=True)
-    return few(scored.filter("predicted = 1").select("row.*", "text").select(docs.columns))
+    return scored.filter("predicted = 1").select("row.*", "text").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8 or more)."""
-    gone = near_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return few(docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti"))
+    """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8 or more).
+
+    Rows leave by id and text, so of an id with several texts only the copies go; equal rows with one id are one
+    document and stay or go together.
+    """
+    gone = near_dedup(docs, keep_key=True).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left_anti")
 
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +66,7 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents that are left into sequences of 2048 tokens."""
-    return few(best_fit_packing(docs, VOCABULARY, keep_ids=False))
+    return best_fit_packing(docs, VOCABULARY, keep_ids=False)
 
 
 STAGES = [
