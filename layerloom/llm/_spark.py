@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of rows that go to or come from Python at a time.
 BATCH_BYTES = 4 << 20
 #: Bytes of a partition, as measured, up to which a hash table of it is built.
 HASH_BYTES = "16m"
 
 
-def cut(df: DataFrame, waves: int = 0) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared checkpoint folder: a lost executor costs no recomputation, lineage ends here.
 
-    waves: so many partitions for each core of the cluster at most, for fewer files; a task then goes through its
-    partitions one after another and holds one at a time.
-    The folder is the one spark.checkpoint.dir names; only a local session without it gets a temporary one.
+    The folder is the one spark.checkpoint.dir names; only a local session without it gets a temporary one, which goes
+    with the process.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
@@ -29,13 +31,11 @@ def cut(df: DataFrame, waves: int = 0) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="layerloom-"))
-    return (few(df, waves) if waves else df).checkpoint(eager=True)
-
-
-def few(df: DataFrame, waves: int = 2) -> DataFrame:
-    """df in at most `waves` partitions for each core of the cluster."""
-    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
+        if not named:
+            named = tempfile.mkdtemp(prefix="layerloom-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return df.checkpoint(eager=True)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -51,11 +51,17 @@ def batched(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(func, schema)
 
 
-def hash_joins(spark: SparkSession) -> None:
-    """Lets adaptive execution join by hashing, without sorting either side, where every partition of one is small."""
+@contextlib.contextmanager
+def hash_joins(spark: SparkSession) -> Iterator[None]:
+    """Within it, adaptive execution may join by hashing, without sorting either side, where every partition of one is small."""
     key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
-    if spark.conf.get(key) in ("0", "0b"):
+    before = spark.conf.get(key)
+    if before in ("0", "0b"):
         spark.conf.set(key, HASH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def packed_row(df: DataFrame, columns: list[str]) -> Column:
@@ -64,10 +70,9 @@ def packed_row(df: DataFrame, columns: list[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in columns]).cast(kind).alias("row")
 
 
-def blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
-    """The number of blocks of about block_bytes that the texts of df make; grows with the input, at least 1."""
-    size = df.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64))).first()[0] or 0
-    return max(1, -(-int(size) // block_bytes))
+def text_bytes(df: DataFrame, text: str) -> int:
+    """The bytes of all texts of df, and some for each row."""
+    return int(df.agg(F.sum(F.octet_length(F.col(text)) + F.lit(64))).first()[0] or 0)
 
 
 def held_out(doc_id: str | Column) -> Column:

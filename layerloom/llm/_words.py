@@ -1,7 +1,12 @@
 """Vectorised words and rolling hashes over Arrow text columns.
 
 A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``; UTF-8 never uses these bytes inside a longer
-character, so words of bytes are the words of the text. All arithmetic is modulo 2**64 (numpy's uint64 wraps).
+character, so words of bytes are the words of the text.
+
+Hashes are polynomials modulo 2**64 (numpy's uint64 wraps). Such a polynomial takes some different sequences of 1024
+and more terms as equal whatever its base (Thue-Morse sequences), so only words of up to SHORT bytes and windows of up to
+SHORT words are hashed by one; longer words get XXH3, longer windows fold the mixed hashes of their parts. A second seed
+gives an independent hash of everything, for comparisons that must not rest on 64 bits.
 """
 
 from __future__ import annotations
@@ -10,11 +15,15 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Bases of the polynomials over bytes and over words, by seed.
+BYTE_BASES, WORD_BASES = (0x9E3779B97F4A7C15, 0xA24BAED4963EE407), (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+#: Bytes of a word, and words of a window, up to which a polynomial hashes them.
+SHORT = 32
 #: Bytes hashed in one go; bounds the temporary arrays (8 bytes each) whatever the text.
 SPAN = 1 << 18
 
@@ -26,12 +35,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U) * U(0x632BE59BD9B4E019))
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _TABLE[97:123]
+_TABLES = [mix(np.arange(1, 257, dtype=U) * U(m)) for m in (0x632BE59BD9B4E019, 0x8CB92BA72F3D8DD7)]
+_LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LOWER = [t[np.frombuffer(_LOWERED, np.uint8)] for t in _TABLES]
 
 
-@functools.lru_cache(8)
+@functools.lru_cache(16)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**j and base**-j for j < size."""
     up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
@@ -73,32 +82,48 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes; with lower, A-Z count as a-z."""
-    table, out = _LOWER if lower else _TABLE, np.empty(len(starts), U)
+    table, out = (_LOWER if lower else _TABLES)[seed], np.empty(len(starts), U)
+    long = ends - starts > SHORT
+    few = np.flatnonzero(long)
+    if len(few):
+        raw = memoryview(np.ascontiguousarray(data))
+        for i, s, e in zip(few.tolist(), starts[few].tolist(), ends[few].tolist(), strict=True):
+            out[i] = xxhash.xxh3_64_intdigest(raw[s:e].tobytes().translate(_LOWERED) if lower else raw[s:e], seed)
+    rest = np.flatnonzero(~long) if len(few) else slice(None)
+    starts, ends = starts[rest], ends[rest]
+    found = np.empty(len(starts), U)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN, "right")))
         at, to = int(starts[i]), int(ends[j - 1])
-        up, down = powers(BYTE_BASE, to - at + 1)
+        up, down = powers(BYTE_BASES[seed], to - at + 1)
         total = np.zeros(to - at + 1, U)
         np.cumsum(table[data[at:to]] * up[: to - at], dtype=U, out=total[1:])
         s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U) * U(WORD_BASE))
+        found[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U) * U(WORD_BASES[seed]))
         i = j
+    out[rest] = found
     return out
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Rabin-Karp: the hash of words[i:i + size] for each i, all from one running sum."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, U)
+    if size > SHORT:  # parts of SHORT words, the last one where the window ends
+        part = window_hashes(words, SHORT, seed)
+        out = np.full(n, U(size))
+        for at in [*range(0, size - SHORT, SHORT), size - SHORT]:
+            out = mix(out * U(WORD_BASES[seed]) + part[at : at + n])
+        return out
     out = np.empty(n, U)
     for at in range(0, n, SPAN):
         to = min(n, at + SPAN)
         part = words[at : to + size - 1]
-        up, down = powers(WORD_BASE, len(part) + 1)
+        up, down = powers(WORD_BASES[seed], len(part) + 1)
         total = np.zeros(len(part) + 1, U)
         np.cumsum(part * up[: len(part)], dtype=U, out=total[1:])
         out[at:to] = mix((total[size:] - total[:-size]) * down[: to - at] + U(size))

@@ -14,13 +14,24 @@ pairs but a spanning forest of the candidate links, whose components are cluster
 members are compared, again inside tasks that pass on a spanning forest, now of confirmed links. A bucket or cluster
 larger than a task may hold is cut into a grid of cells, each a pair of parts: every two members meet in some cell, so
 no link between different texts that share a band is lost, and what is passed on grows with members, not with pairs.
+Of several buckets with the same members one is looked at.
+
+What is quadratic: a bucket of m members that its leaders leave unconnected sends m * ceil(m / SKETCHES) rows of about 100
+bytes and compares m * m / 2 bitmaps, about 5 ns each; a cluster of m likely links sends m * ceil(m / PART) texts. Such
+buckets hold texts that share five minima without being similar; 100,000 of them cost 2.5 million rows and half a minute
+of one core, spread over 325 tasks.
+
+Words and shingles are compared as 64-bit hashes; links are confirmed on hashes of another seed than those that made
+bands, sketches and classes. Rows of a class meet the class's component in one join, which adaptive execution splits
+where a class is large; rows without id or words are kept out of it.
 
 At a similarity of 0.85 two texts share no band with probability 7e-9, at 0.8 with probability 3e-6.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and is its own component; a null id takes
 no part in links: component_id is null and kept is true. Rows that repeat an id with equal texts share a component;
 with unequal texts each row takes that of its own text. If several texts have the same smallest id they count as one,
-and links to other texts are judged on the one with the smallest hash.
+and links to other texts are judged on the one with the smallest hash. Very long texts are sets like any other; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,34 +43,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm._spark import batched, cut, few, hash_joins
+from layerloom.llm._spark import batched, cut, hash_joins
 from layerloom.llm._words import U, buffers, mix, window_hashes, word_hashes, word_spans
 from layerloom.llm.components import components
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
-#: Members of a part of a bucket or cluster, and shingles in a part of a cluster; a cell holds two parts.
-PART, PART_SHINGLES = 512, 300_000
+#: Members of a part of a bucket; members and shingles of a part of a cluster. A cell holds two parts.
+SKETCHES, PART, PART_SHINGLES = 4096, 512, 300_000
 #: Shingles that are compared in one go.
 COLUMNS = 8192
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U))
 _A, _B = (_SEEDS[:SAMPLES] >> U(32)).astype(np.uint32) | np.uint32(1), (_SEEDS[SAMPLES:] >> U(32)).astype(np.uint32)
 
 
-def shingle_sets(column: pa.Array, ngram: int) -> list[np.ndarray]:
-    """For each text its distinct shingles as ascending 64-bit hashes."""
+def shingle_sets(column: pa.Array, ngram: int, seed: int = 0) -> list[np.ndarray]:
+    """For each text its distinct shingles as ascending 64-bit hashes; another seed gives independent ones."""
     data, offsets = buffers(column)
     starts, ends, bounds = word_spans(data, offsets)
-    words = word_hashes(data, starts, ends, lower=True)
-    windows = window_hashes(words, ngram)
+    words = word_hashes(data, starts, ends, lower=True, seed=seed)
+    windows = window_hashes(words, ngram, seed)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         n = b - a
         if n >= ngram:
             out.append(np.unique(windows[a : b - ngram + 1]))
         else:
-            out.append(window_hashes(words[a:b], n) if n else np.zeros(0, U))
+            out.append(window_hashes(words[a:b], n, seed) if n else np.zeros(0, U))
     return out
 
 
@@ -128,7 +139,7 @@ def _confirm(ngram: int, percent: int):
             kept = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for i, (a, b) in enumerate(zip(shingle_sets(part.column("text_a"), ngram), shingle_sets(part.column("text_b"), ngram), strict=True)):
+                for i, (a, b) in enumerate(zip(shingle_sets(part.column("text_a"), ngram, 1), shingle_sets(part.column("text_b"), ngram, 1), strict=True)):
                     shared = len(np.intersect1d(a, b, assume_unique=True))
                     if shared and 100 * shared >= percent * (len(a) + len(b) - shared):
                         kept.append(at + i)
@@ -170,8 +181,10 @@ def _cross(limit: int):
     def cross(table: pa.Table) -> pa.Table:
         ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint64).reshape(len(ids), -1)
-        near = np.stack([np.bitwise_count(sketch ^ own).sum(axis=1, dtype=np.int64) <= limit for own in sketch])
-        return _pairs(ids, _forest(near & (comps != comps[:, None])))
+        near = np.empty((len(ids), len(ids)), bool)
+        for i, own in enumerate(sketch):
+            near[i] = (np.bitwise_count(sketch ^ own).sum(axis=1, dtype=np.int16) <= limit) & (comps != comps[i])
+        return _pairs(ids, _forest(near))
 
     return cross
 
@@ -181,7 +194,7 @@ def _resolve(ngram: int, percent: int):
 
     def resolve(table: pa.Table) -> pa.Table:
         ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
-        sets = shingle_sets(table.column("text"), ngram)
+        sets = shingle_sets(table.column("text"), ngram, 1)
         sizes = np.array([len(s) for s in sets], np.int64)
         owner, flat = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
@@ -217,20 +230,26 @@ def _xor_bits(a: str, b: str) -> Column:
 
 
 def _representatives(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(set_key, rep): the smallest id of each distinct set; and (rep, bands, sketch, n) of those ids."""
+    """(set_key, rep): the smallest id of each distinct set; and (rep, text_key, bands, sketch, n) of one text of that id and set."""
     usable = feats.filter("id is not null and set_key is not null")
     classes = usable.groupBy("set_key").agg(F.min("id").alias("rep"))
     own = usable.join(classes.withColumnRenamed("set_key", "class_key"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("class_key")))
-    one = own.groupBy("rep").agg(F.min_by(F.struct("bands", "sketch", F.col("n_shingles").alias("n")), "text_key").alias("one"))
-    return classes, cut(one.select("rep", "one.bands", "one.sketch", "one.n"), waves=4)
+    one = own.groupBy("rep").agg(F.min_by(F.struct("text_key", "bands", "sketch", F.col("n_shingles").alias("n")), "text_key").alias("one"))
+    return classes, cut(one.select("rep", "one.*"))
 
 
 def _bucket_members(reps: DataFrame) -> DataFrame:
     """(key, rep, lead, other): the members of each bucket of several, with two leaders of it."""
     spread = reps.select("rep", F.explode("bands").alias("key"))
     leaders = spread.groupBy("key").agg(F.min("rep").alias("lead"), F.max_by("rep", F.xxhash64("rep")).alias("other"), F.count("*").alias("size"))
-    shared = leaders.filter("size > 1").drop("size")
-    return cut(spread.join(shared.hint("shuffle_hash"), "key"), waves=4)  # no sort of all bands
+    return cut(spread.join(leaders.filter("size > 1").drop("size"), "key"))
+
+
+def _texts(rows: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, text) of the representatives that share a bucket: the text that bands and sketch were made of."""
+    needed = reps.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "text_key")
+    found = rows.filter("id is not null and text is not null").join(needed, ["id", "text_key"], "left_semi")
+    return cut(found.groupBy("id", "text_key").agg(F.first("text").alias("text")).drop("text_key"))
 
 
 def _links_to_leaders(members: DataFrame, reps: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -241,7 +260,7 @@ def _links_to_leaders(members: DataFrame, reps: DataFrame, texts: DataFrame, ngr
     pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
     pairs = pairs.filter(_xor_bits("sketch_a", "sketch_b") <= most_different_bits(percent)).select("a", "b")
     full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return cut(batched(full, _confirm(ngram, percent), "a bigint, b bigint"), waves=4)
+    return cut(batched(full, _confirm(ngram, percent), "a bigint, b bigint"))
 
 
 def _labelled(ids: DataFrame, comps: DataFrame) -> DataFrame:
@@ -251,15 +270,17 @@ def _labelled(ids: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _candidates(members: DataFrame, reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """A forest (a, b) of likely links across components, from the buckets that aren't connected yet."""
+    """A forest (a, b) of likely links across components, from the buckets that aren't connected yet; of equal buckets one is looked at."""
     labelled = _labelled(members.select("key", F.col("rep").alias("id")), comps)
-    split = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    left = labelled.join(split.filter("low < high").select("key", "size"), "key")
+    same = F.struct(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("a"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("b"))
+    split = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), same.alias("same")).filter("low < high")
+    split = split.groupBy("same").agg(F.min("key").alias("key")).select("key", "same.size")
+    left = labelled.join(split, "key")
     word = lambda i: F.unhex(F.lpad(F.hex(F.element_at("sketch", i)), 16, "0"))
     packed = reps.select(F.col("rep").alias("id"), F.concat(*[word(i) for i in range(1, BITS // 64 + 1)]).alias("packed"))
-    cells = _grid(left, "key", F.ceil(F.col("size") / PART)).join(packed, "id")
+    cells = _grid(left, "key", F.ceil(F.col("size") / SKETCHES)).join(packed, "id")
     found = cells.groupBy("key", "x", "y").applyInArrow(_cross(most_different_bits(percent)), "a bigint, b bigint")
-    return cut(found.distinct(), waves=2)
+    return cut(found.distinct())
 
 
 def _links_in_clusters(candidates: DataFrame, reps: DataFrame, texts: DataFrame, comps: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -271,28 +292,30 @@ def _links_in_clusters(candidates: DataFrame, reps: DataFrame, texts: DataFrame,
     return cells.groupBy("cluster", "x", "y").applyInArrow(_resolve(ngram, percent), "a bigint, b bigint")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id (smallest linked id) and kept (id = component_id)."""
-    hash_joins(docs.sparkSession)
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, keep_key: bool = False) -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id (smallest linked id), kept (id = component_id) and (if keep_key) text_key.
+
+    text_key is xxhash64 of the text: rows of one id with different texts can be told apart by it.
+    """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    feats = cut(batched(rows.withColumn("text_key", F.xxhash64("text")), _features(ngram), FEATURES))
-    classes, reps = _representatives(feats)
-    members = _bucket_members(reps)
-    needed = members.select(F.col("rep").alias("id")).distinct()
-    texts = rows.filter("id is not null and text is not null").join(needed, "id", "left_semi")
-    texts = cut(texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), waves=4)
-
-    links = _links_to_leaders(members, reps, texts, ngram, percent)
-    comps = components(links)
-    candidates = _candidates(members, reps, comps, percent)
-    if not candidates.isEmpty():
-        comps = components(links.unionAll(_links_in_clusters(candidates, reps, texts, comps, ngram, percent)))
-
-    in_class = _labelled(classes.withColumnRenamed("rep", "id"), comps).select("set_key", F.col("comp").alias("of_class"))
-    out = feats.select("id", "n_shingles", "set_key").join(in_class, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("of_class", "id"))
-    out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
-    return few(out).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    with hash_joins(docs.sparkSession):
+        feats = cut(batched(rows, _features(ngram), FEATURES))
+        classes, reps = _representatives(feats)
+        members = _bucket_members(reps)
+        texts = _texts(rows, members, reps)
+        links = _links_to_leaders(members, reps, texts, ngram, percent)
+        comps = components(links)
+        candidates = _candidates(members, reps, comps, percent)
+        if not candidates.isEmpty():
+            comps = components(links.unionAll(_links_in_clusters(candidates, reps, texts, comps, ngram, percent)))
+
+    in_class = _labelled(classes.withColumnRenamed("rep", "id"), comps).select("set_key", F.col("comp").alias("component_id"))
+    alone = "id is null or set_key is null"  # never joined: all of them would meet in one partition
+    out = feats.filter(f"not ({alone})").join(in_class, "set_key").select("id", "n_shingles", "component_id", "text_key")
+    out = out.unionAll(feats.filter(alone).select("id", "n_shingles", F.col("id").alias("component_id"), "text_key"))
+    out = out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    return out.select(id_col, "n_shingles", "component_id", "kept", *["text_key"] * keep_key)
 
 
 def reference(rows: list[tuple], ngram: int, percent: int) -> dict:

@@ -1,74 +1,81 @@
 """Substring dedup: words covered by a window of words that also starts in a document with a smaller id go.
 
 Method: Rabin-Karp hashes of every window of `window` consecutive words. Documents are dealt into blocks by a hash of
-their id and text. Each block reduces its windows to one record for each distinct hash (hash, smallest id), so a passage that a
-third of all documents share sends one record a block, not one a document. Records meet in ranges of the hash, where
-Spark counts in how many blocks each occurs; a block hears back only the hashes that some other block holds under a
-smaller id. It then marks repeated windows, merges them into maximal intervals of words and removes these.
+the whole row. Windows are counted in two rounds of Spark groups, each over ranges of the hash:
 
-Two windows count as equal if their 64-bit hashes are.
+1. A block sends the distinct PREFIX first bits of its windows' hashes, so a passage that a third of all documents share
+   sends one value a block, not one a document. Each range finds the prefixes that several blocks hold.
+2. A block sends, for its windows with such a prefix only, both 64-bit hashes and the smallest id. Each range finds
+   the windows (128 bits) that another block holds under a smaller id, and their blocks hear of them.
+
+A block then marks these windows and those that repeat inside it, merges them into maximal intervals of words and removes
+these. What a block sends is sorted, so it travels as differences, four to sixteen bytes a window; a row of Spark's
+own for each window would take two to three times the disk. The number of blocks and ranges grows with the input; the number of partitions
+is the session's (spark.sql.shuffle.partitions, fewer where adaptive execution joins small ones).
+
+Windows of different blocks count as equal if 128 bits of hashes are, windows of one block (some MB) if 64 are.
 
 Defined cases: null, empty or blank texts have no words and nothing removed; texts of fewer words than the window are
-kept whole; a null id is neither smaller nor larger than any id, so such a row keeps all words and removes none
-elsewhere; rows with the same id don't remove each other's words; other columns of the input are ignored.
+kept whole; a very long text is a block of its own; a null id is neither smaller nor larger than any id, so such a row
+keeps all words, removes none elsewhere and is never shuffled; rows with the same id don't remove each other's words; an
+empty table gives an empty result; other columns of the input are ignored, or carried along as they are if named.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from layerloom.llm._spark import blocks, bound_batches, few, packed_row
+from layerloom.llm._spark import BLOCK_BYTES, batched, packed_row, text_bytes
+from layerloom.llm._stats import slices
 from layerloom.llm._words import U, buffers, owners, window_hashes, windows_inside, word_hashes, word_spans
 
 WINDOW = 13
-NO_ID = np.iinfo(np.int64).max
+#: Bits of a hash that the first round compares.
+PREFIX = 48
+#: Hashes of a range that one task sorts at a time, about, and bytes of text that make one window.
+RANGE, BYTES_A_WINDOW = 2 << 20, 6
+_PACKED = pa.schema([("blk", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
 
 
-def _pack(hashes: np.ndarray, ids: np.ndarray | None = None) -> bytes:
-    """Ascending hashes as differences, and ids, byte plane by byte plane, compressed."""
-    gaps = np.diff(hashes, prepend=U(0))
-    planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
-    if ids is not None:
-        planes += ids.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+def _pack(hashes: np.ndarray, *others: np.ndarray) -> bytes:
+    """Ascending hashes as differences, then other 64-bit columns, byte plane by byte plane; compressed unless it is little."""
+    columns = [np.diff(hashes, prepend=U(0)), *others]
+    planes = b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return b"\0" + planes if len(planes) < 128 else b"\1" + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
-def _unpack(packed: bytes, n: int, with_ids: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(pa.Codec("zstd").decompress(packed, n * (16 if with_ids else 8), asbytes=True), np.uint8)
-    get = lambda part, kind: np.ascontiguousarray(part.reshape(8, n).T).reshape(-1).view(kind)
-    ids = get(raw[8 * n :], np.int64) if with_ids else np.zeros(0, np.int64)
-    return np.cumsum(get(raw[: 8 * n], U), dtype=U), ids
+def _unpack(packed: bytes, n: int, others: int = 0) -> list[np.ndarray]:
+    raw = packed[1:] if packed[0] == 0 else pa.Codec("zstd").decompress(packed[1:], n * 8 * (1 + others), asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(1 + others, 8, n)
+    columns = [np.ascontiguousarray(p.T).reshape(-1).view(U) for p in planes]
+    return [np.cumsum(columns[0], dtype=U), *columns[1:]]
 
 
 class _Block:
-    """The windows of one block's documents."""
+    """The windows of one block's documents; second: with an independent hash of each."""
 
-    def __init__(self, table: pa.Table, window: int):
-        ids = table.column("id").combine_chunks()
-        self.size = window
-        self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.null = ids.is_null().to_numpy(zero_copy_only=False)
+    def __init__(self, table: pa.Table, window: int, second: bool = False):
+        self.ids = table.column("id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
         self.data, self.offsets = buffers(table.column("text"))
         self.starts, self.ends, self.bounds = word_spans(self.data, self.offsets)
-        words = word_hashes(self.data, self.starts, self.ends)
-        inside = windows_inside(self.bounds, window)
-        self.at = np.flatnonzero(inside)
-        owner = owners(self.bounds)[self.at] if len(self.at) else self.at
-        live = ~self.null[owner]
-        self.at, owner = self.at[live], owner[live]
-        self.hashes = window_hashes(words, window)[self.at]
-        self.owner_ids = self.ids[owner]
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes in ascending order, the smallest id of each, and for each window the index of its hash."""
+        self.at = np.flatnonzero(windows_inside(self.bounds, window))
+        hashed = lambda seed: window_hashes(word_hashes(self.data, self.starts, self.ends, seed=seed), window, seed)[self.at]
+        self.hashes = hashed(0)
+        self.others = hashed(1) if second else None
+        self.owner_ids = self.ids[owners(self.bounds)[self.at]]
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes in ascending order, the smallest id of each, the place of a window with each, and for each window the index of its hash."""
+        none = np.zeros(0, np.int64)
         if not len(self.hashes):
-            return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return self.hashes, none, none, none
         order = np.argsort(self.hashes, kind="stable")
         ordered = self.hashes[order]
         new = np.ones(len(ordered), bool)
@@ -76,120 +83,177 @@ class _Block:
         heads = np.flatnonzero(new)
         index = np.empty(len(ordered), np.int64)
         index[order] = np.cumsum(new) - 1
-        return ordered[heads], np.minimum.reduceat(self.owner_ids[order], heads), index
-
+        return ordered[heads], np.minimum.reduceat(self.owner_ids[order], heads), order[heads], index
 
-def _ranges(n: int) -> np.ndarray:
-    """The n - 1 inner bounds that cut the hashes into n even ranges."""
-    return np.array([(i << 64) // n for i in range(1, n)], U)
 
-
-def _emit(window: int, n: int) -> Callable:
-    def emit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        hashes, ids, _ = _Block(table, window).distinct()
-        cuts = np.concatenate([[0], np.searchsorted(hashes, _ranges(n)), [len(hashes)]])
+def _to_ranges(blk: int, n: int, bits: int, hashes: np.ndarray, *others: np.ndarray) -> pa.Table:
+    """Ascending hashes of so many bits, with other columns, cut at the bounds of n even ranges."""
+    bounds = np.array([-(-(i << bits) // n) for i in range(1, n)], U) if n <= len(hashes) else None
+    if bounds is not None:
+        cuts = np.concatenate([[0], np.searchsorted(hashes, bounds), [len(hashes)]])
         full = np.flatnonzero(np.diff(cuts))
-        return pa.table(
-            {
-                "bucket": pa.array(full, pa.int64()),
-                "blk": pa.array([key[0].as_py()] * len(full), pa.int64()),
-                "n": pa.array(np.diff(cuts)[full], pa.int64()),
-                "packed": pa.array([_pack(hashes[cuts[i] : cuts[i + 1]], ids[cuts[i] : cuts[i + 1]]) for i in full], pa.binary()),
-            }
-        )
-
-    return emit
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of one range of hashes: for each block the hashes that another block holds under a smaller id."""
-    blks, ns = table.column("blk").to_numpy(), table.column("n").to_numpy()
-    parts = [_unpack(p.as_py(), n, True) for p, n in zip(table.column("packed"), ns, strict=True)]
-    hashes, ids = np.concatenate([h for h, _ in parts]), np.concatenate([i for _, i in parts])
-    part = np.repeat(np.arange(len(parts)), ns)
+        buckets, cuts = full, np.append(cuts[full], len(hashes)) if len(full) else np.zeros(1, np.int64)
+    else:  # more ranges than hashes
+        own = np.array([(int(h) * n) >> bits for h in hashes], np.int64)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        buckets, cuts = own[first], np.append(first, len(hashes))
+    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    return pa.table(
+        {
+            "bucket": pa.array(buckets, pa.int64()),
+            "blk": pa.array([blk] * len(spans), pa.int64()),
+            "n": pa.array([b - a for a, b in spans], pa.int64()),
+            "packed": pa.array([_pack(hashes[a:b], *[c[a:b] for c in others]) for a, b in spans], pa.binary()),
+        }
+    )
+
+
+def _prefixes(window: int, n: int) -> Callable:
+    def prefixes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _to_ranges(key[0].as_py(), n, PREFIX, np.unique(_Block(table, window).hashes >> U(64 - PREFIX)))
+
+    return prefixes
+
+
+def _parts(table: pa.Table, others: int = 0) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+    """The block of each record of a range, all records' columns one after another, and the record of each hash."""
+    ns = table.column("n").to_pylist()
+    unpacked = [_unpack(p.as_py(), n, others) for p, n in zip(table.column("packed"), ns, strict=True)]
+    columns = [np.concatenate([u[k] for u in unpacked]) for k in range(1 + others)]
+    return table.column("blk").to_pylist(), columns, np.repeat(np.arange(len(ns)), ns)
+
+
+def _answers(blks: list[int], hashes: np.ndarray, part: np.ndarray, wanted: np.ndarray) -> pa.Table:
+    """For each block its wanted hashes."""
+    hashes, part = hashes[wanted], part[wanted]
+    cuts = np.searchsorted(part, np.arange(len(blks) + 1)).tolist()
+    rows = [(blks[k], b - a, _pack(hashes[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PACKED)], schema=_PACKED)
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one range: for each block the prefixes that another block holds too."""
+    blks, (hashes,), part = _parts(table)
     order = np.argsort(hashes, kind="stable")
     ordered = hashes[order]
-    new = np.ones(len(ordered), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    heads, group = np.flatnonzero(new), np.cumsum(new) - 1
-    late = np.empty(len(ordered), bool)
-    late[order] = ids[order] > np.minimum.reduceat(ids[order], heads)[group]
-    rows: dict[str, list] = {"blk": [], "n": [], "packed": []}
-    for k in np.unique(part[late]):
-        found = hashes[late & (part == k)] if len(parts) < 3 else parts[k][0][late[ns[:k].sum() : ns[: k + 1].sum()]]
-        rows["blk"].append(blks[k])
-        rows["n"].append(len(found))
-        rows["packed"].append(_pack(found))
-    return pa.table(rows, schema=pa.schema([("blk", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]))
+    same = ordered[1:] == ordered[:-1]
+    wanted = np.zeros(len(hashes), bool)
+    wanted[order[1:][same]] = wanted[order[:-1][same]] = True
+    return _answers(blks, hashes, part, wanted)
+
+
+def _suspects(window: int, n: int) -> Callable:
+    def suspects(key: tuple[pa.Scalar, ...], table: pa.Table, heard: pa.Table) -> pa.Table:
+        if not table.num_rows or not heard.num_rows:
+            return _to_ranges(0, n, 64, np.zeros(0, U))
+        block = _Block(table, window, second=True)
+        hashes, smallest, place, _ = block.distinct()
+        _, (prefixes,), _ = _parts(heard)
+        prefixes = np.sort(prefixes)
+        own = hashes >> U(64 - PREFIX)
+        at = np.searchsorted(prefixes, own)
+        shared = prefixes[np.minimum(at, len(prefixes) - 1)] == own
+        return _to_ranges(key[0].as_py(), n, 64, hashes[shared], block.others[place[shared]], smallest[shared].view(U))
+
+    return suspects
+
+
+def _late(table: pa.Table) -> pa.Table:
+    """Of one range: for each block the windows that another block holds under a smaller id."""
+    blks, (hashes, others, ids), part = _parts(table, 2)
+    ids = ids.view(np.int64)
+    order = np.lexsort((others, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (others[order][1:] != others[order][:-1])
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1] if len(order) else ids
+    late = np.empty(len(order), bool)
+    late[order] = ids[order] > least
+    return _answers(blks, hashes, part, late)
+
+
+def _results(table: pa.Table, block: _Block, covered: np.ndarray, keep_text: bool) -> pa.Table:
+    raw = block.data.tobytes()
+    out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": [], "removed": []}
+    for i in range(table.num_rows):
+        a, b = int(block.bounds[i]), int(block.bounds[i + 1])
+        words = raw[block.offsets[i] : block.offsets[i + 1]].split()
+        mask = covered[a:b]
+        spans: list[dict] = []
+        if mask.any():
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2)
+            spans = [{"start": int(s), "end": int(e)} for s, e in edges]
+            keep, at = [], 0
+            for s, e in edges:
+                keep += words[at:s]
+                at = e
+            words = keep + words[at:]
+        out["n_words"].append(b - a)
+        out["n_removed"].append(int(mask.sum()))
+        out["kept_text"].append(b" ".join(words).decode())
+        out["removed"].append(spans)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    before = {"id": table.column("id"), "row": table.column("row")} | ({"text": table.column("text")} if keep_text else {})
+    return pa.table(
+        before | {"n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
+         "kept_text": pa.array(out["kept_text"], pa.string()), "removed": pa.array(out["removed"], span)}
+    )
 
 
 def _remove(window: int, keep_text: bool) -> Callable:
     def remove(key: tuple[pa.Scalar, ...], table: pa.Table, heard: pa.Table) -> pa.Table:
         block = _Block(table, window)
-        hashes, smallest, index = block.distinct()
+        hashes, smallest, _, index = block.distinct()
         gone = np.zeros(len(block.starts) + 1, np.int64)
         if len(hashes):
             repeated = np.zeros(len(hashes), bool)
-            for packed, n in zip(heard.column("packed"), heard.column("n").to_pylist(), strict=True):
-                repeated[np.searchsorted(hashes, _unpack(packed.as_py(), n)[0])] = True
+            if heard.num_rows:
+                repeated[np.searchsorted(hashes, _parts(heard)[1][0])] = True
             marked = block.at[repeated[index] | (block.owner_ids > smallest[index])]
             np.add.at(gone, marked, 1)
             np.add.at(gone, marked + window, -1)
-        covered = np.cumsum(gone)[:-1] > 0
-        raw = block.data.tobytes()
-        out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_text": [], "removed": []}
-        for i in range(len(block.ids)):
-            a, b = int(block.bounds[i]), int(block.bounds[i + 1])
-            words = raw[block.offsets[i] : block.offsets[i + 1]].split()
-            mask = covered[a:b]
-            spans: list[dict] = []
-            if mask.any():
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2)
-                spans = [{"start": int(s), "end": int(e)} for s, e in edges]
-                keep, at = [], 0
-                for s, e in edges:
-                    keep += words[at:s]
-                    at = e
-                words = keep + words[at:]
-            out["n_words"].append(b - a)
-            out["n_removed"].append(int(mask.sum()))
-            out["kept_text"].append(b" ".join(words).decode())
-            out["removed"].append(spans)
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        before = {"id": table.column("id"), "row": table.column("row")} | ({"text": table.column("text")} if keep_text else {})
-        return pa.table(
-            before | {"n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
-             "kept_text": pa.array(out["kept_text"], pa.string()), "removed": pa.array(out["removed"], span)}
-        )
+        return _results(table, block, np.cumsum(gone)[:-1] > 0, keep_text)
 
     return remove
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None, n_blocks: int | None = None) -> DataFrame:
+def _whole(keep_text: bool) -> Callable:
+    """Results of rows that lose nothing."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                table = pa.Table.from_batches([part])
+                block = _Block(table.set_column(0, "id", pa.array(np.zeros(len(part), np.int64))), 1)
+                found = _results(table, block, np.zeros(len(block.starts), bool), keep_text)
+                yield from found.combine_chunks().to_batches()
+
+    return whole
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None, n_blocks: int | None = None, n_ranges: int | None = None) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, kept_text (kept words joined by one space) and removed.
 
     removed holds the maximal removed intervals as word positions, end exclusive. Columns named in carry come along as
-    the struct `row`, and the whole text as `text`. n_blocks (default: by size) only deals out work; it never changes
-    the result.
+    the struct `row`, and the whole text as `text`. n_blocks and n_ranges (default: by size) only deal out work; they never
+    change the result.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    bound_batches(docs.sparkSession)
-    n = n_blocks or blocks(docs, text_col)
+    size = 0 if n_blocks and n_ranges else text_bytes(docs, text_col)
+    n, ranges = n_blocks or max(1, -(-size // BLOCK_BYTES)), n_ranges or max(1, -(-size // (RANGE * BYTES_A_WINDOW)))
     row = packed_row(docs, carry) if carry else F.lit(None).cast("int").alias("row")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), row)
-    dealt = rows.withColumn("blk", F.pmod(F.xxhash64("id", "text"), F.lit(n))).repartition(n, "blk")
-    sent = dealt.groupBy("blk").applyInArrow(_emit(window, n), "bucket long, blk long, n long, packed binary")
-    heard = sent.groupBy("bucket").applyInArrow(_repeated, "blk long, n long, packed binary")
-    remove, empty = _remove(window, bool(carry)), pa.schema([("blk", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())]).empty_table()
-
-    def apply(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return remove(key, left, right if right.num_rows else empty)
-
+    told_apart = [F.col(f"row.`{f.name}`") for f in rows.schema["row"].dataType.fields if isinstance(f.dataType, AtomicType)] if carry else []
+    dealt = rows.filter("id is not null").withColumn("blk", F.pmod(F.xxhash64("id", "text", *told_apart), F.lit(n))).repartition("blk")
+    sent, answer = "bucket long, blk long, n long, packed binary", "blk long, n long, packed binary"
+    shared = dealt.groupBy("blk").applyInArrow(_prefixes(window, ranges), sent).groupBy("bucket").applyInArrow(_shared, answer)
+    suspects = dealt.groupBy("blk").cogroup(shared.groupBy("blk")).applyInArrow(_suspects(window, ranges), sent)
+    heard = suspects.groupBy("bucket").applyInArrow(_late, answer)
     kind = dealt.schema["row"].dataType.simpleString()
     schema = f"id bigint, row {kind}, {'text string, ' * bool(carry)}n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>"
-    out = dealt.groupBy("blk").cogroup(heard.groupBy("blk")).applyInArrow(apply, schema)
-    return few(out if carry else out.drop("row"), 4).withColumnRenamed("id", id_col)
+    out = dealt.groupBy("blk").cogroup(heard.groupBy("blk")).applyInArrow(_remove(window, bool(carry)), schema)
+    out = out.unionAll(batched(rows.filter("id is null"), _whole(bool(carry)), schema))
+    return (out if carry else out.drop("row")).withColumnRenamed("id", id_col)
 
 
 def reference(rows: list[tuple], window: int = WINDOW) -> dict:

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from odd import CLASH
+from odd import CLASH, switched
 from pyspark.sql import functions as F
 
 from layerloom.llm import near_dedup as nd
@@ -18,8 +18,8 @@ def substring(df, **more):
 def test_substrings_of_odd_rows(docs, odd_rows):
     rows = [(i, t) for i, t in odd_rows if i is not None]
     expected = sd.reference(rows)
-    for blocks in (1, 5):
-        found = {r[0]: r[1:4] for r in substring(docs(odd_rows, CLASH), n_blocks=blocks) if r[0] is not None}
+    for blocks, ranges in ((1, 1), (5, 3), (40, 10**6)):
+        found = {r[0]: r[1:4] for r in substring(docs(odd_rows, CLASH), n_blocks=blocks, n_ranges=ranges) if r[0] is not None}
         assert found == expected
     assert expected[7][1] == 80 and expected[9][1] == 80 and expected[13][1] == 80 and expected[6][1] == 0
     nulls = [r for r in substring(docs(odd_rows)) if r[0] is None]
@@ -43,6 +43,27 @@ def test_intervals_are_maximal_and_repeats_of_an_id_stay(docs):
     assert (2, ((1, 21), (22, 42))) in found and [r[2] for r in substring(docs(rows)) if r[0] == 3] == [0, 0]
 
 
+def test_words_that_polynomials_confuse(docs):
+    a, b = switched(2048)
+    rows = [(1, " ".join([a] * 14)), (2, " ".join([b] * 14)), (3, " ".join([a] * 13))]
+    assert {r[0]: r[1:3] for r in substring(docs(rows), n_blocks=3, n_ranges=2)} == {1: (14, 0), 2: (14, 0), 3: (13, 13)}
+    rows = [(k, f"{x} one {x} two") for k, x in enumerate((a, b, a.upper(), b))]
+    assert {r[0]: r[2] for r in near(docs(rows))} == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
+def test_prefixes_that_agree_by_chance_remove_nothing(docs, monkeypatch):
+    monkeypatch.setattr(sd, "PREFIX", 4)
+    r = random.Random(8)
+    rows = [(i, " ".join(str(r.randrange(10**6)) for _ in range(60))) for i in range(40)] + [(50, "a b " * 20), (51, "b a " * 20)]
+    assert {x[0]: x[1:4] for x in substring(docs(rows), n_blocks=7, n_ranges=3)} == sd.reference(rows)
+
+
+def test_many_equal_rows(docs):
+    rows = [(7, "a b c d e f g h i j k l m n")] * 300 + [(8, "a b c d e f g h i j k l m o")] * 300 + [(None, None)] * 300
+    found = sorted(((r[0] or 0), r[2]) for r in substring(docs(rows), n_blocks=3, n_ranges=2))
+    assert found == [(0, 0)] * 300 + [(7, 0)] * 300 + [(8, 13)] * 300
+
+
 def test_substrings_of_nothing(docs):
     assert substring(docs([])) == []
     assert substring(docs([(1, None)])) == [(1, 0, 0, hashlib.sha256(b"").hexdigest(), [])]
@@ -91,10 +112,25 @@ def test_near_duplicates_of_families(docs, seed, ngram, percent):
 
 def test_large_family_is_cut_into_cells(docs, monkeypatch):
     monkeypatch.setattr(nd, "PART", 8)
+    monkeypatch.setattr(nd, "SKETCHES", 8)
     rows = families(5, n_families=2, size=90, edits=9)
     assert {r[0]: r[1:3] for r in near(docs(rows))} == nd.reference(rows, 3, 85)
 
 
+def test_rows_sent_for_a_large_unconnected_bucket(spark):
+    members = spark.range(100_000).select(F.lit(1).alias("key"), "id", F.col("id").alias("comp"))
+    cells = nd._grid(members, "key", F.ceil(F.lit(100_000) / nd.SKETCHES)).groupBy("x", "y").count().collect()
+    parts = -(-100_000 // nd.SKETCHES)
+    assert sum(r["count"] for r in cells) == 100_000 * parts and len(cells) == parts * (parts + 1) // 2
+    assert max(r["count"] for r in cells) < 2.2 * nd.SKETCHES
+
+
+def test_rows_of_an_id_are_told_apart_by_their_texts(spark, docs):
+    df = docs([(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text of some more words"), (3, None)])
+    out = nd.near_dedup(df, keep_key=True).join(df.select(F.col("doc_id").alias("i"), "text", F.xxhash64("text").alias("k")), (F.col("i") == F.col("doc_id")) & (F.col("k") == F.col("text_key")))
+    assert {(r["doc_id"], r["text"], r["kept"]) for r in out.collect() if r["doc_id"] < 3} == {(1, "a b c d e f g", True), (2, "a b c d e f g", False), (2, "quite another text of some more words", True)}
+
+
 def test_equal_texts_meet_no_pairs(docs):
     rows = [(i, "one two three four five six") for i in range(400, 0, -1)]
     assert {r[2] for r in near(docs(rows))} == {1}

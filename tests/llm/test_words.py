@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from odd import switched
 
 from layerloom.llm import _words as w
 from layerloom.llm._stats import count_texts, slices
@@ -51,6 +52,45 @@ def test_slices_of_columns_and_large_spans(monkeypatch):
     assert (w.word_hashes(data, starts, ends) == whole[0]).all() and (w.window_hashes(whole[0], 3) == whole[1]).all()
 
 
+@pytest.mark.parametrize("size", [8, 31, 32, 33, 64, 1024, 2048, 4096])
+@pytest.mark.parametrize("seed", [0, 1])
+def test_switched_words_and_windows_differ(size, seed):
+    pair = switched(size)
+    data, offsets = w.buffers(pa.array([*pair, pair[0].upper(), pair[0]]))
+    starts, ends, bounds = w.word_spans(data, offsets)
+    hashes = w.word_hashes(data, starts, ends, seed=seed)
+    assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[3]
+    lower = w.word_hashes(data, starts, ends, lower=True, seed=seed)
+    assert len(set(lower.tolist())) == 2 and lower[0] == lower[2] == hashes[0]
+    letters = w.word_hashes(data, np.arange(len(data)), np.arange(1, len(data) + 1), seed=seed)
+    windows = w.window_hashes(letters, size, seed)[np.arange(4) * size]
+    assert len(set(windows.tolist())) == 3 and windows[0] == windows[3]
+
+
+def test_seeds_are_independent():
+    data, offsets = w.buffers(pa.array(["some words " + "x" * 40]))
+    starts, ends, _ = w.word_spans(data, offsets)
+    a, b = (w.word_hashes(data, starts, ends, seed=k) for k in (0, 1))
+    assert not (a == b).any() and w.window_hashes(a, 2)[0] != w.window_hashes(a, 2, seed=1)[0]
+
+
+def test_a_long_word_needs_little_memory():
+    import tracemalloc
+
+    size = 30_000_000
+    data, offsets = np.full(size, 97, np.uint8), np.array([0, size])
+    tracemalloc.start()
+    w.word_hashes(data, np.array([0]), np.array([size]))
+    assert tracemalloc.get_traced_memory()[1] < 2 * size
+    tracemalloc.stop()
+
+
+def test_counts_tell_long_lines_and_words_apart():
+    a, b = switched(2048)
+    found = count_texts(pa.array([f"{a}\n{b}\n{a}", f"{a} {b} {a} {b} {b} {a}"]))
+    assert found["n_dup_lines"].tolist() == [1, 0] and found["n_repeat_words"].tolist() == [0, 0] and found["n_same"].tolist() == [0, 1]
+
+
 def test_counts_equal_brute_force():
     rows = [*texts(4, 1500), None, "", "\n", "\n\n a\n a\na", "a\n", "x y z x y z", "a a a a"]
     found = count_texts(pa.array(rows, pa.string()))
