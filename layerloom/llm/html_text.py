@@ -13,13 +13,16 @@ paragraphs of prose or score a fair part of the best. Its blocks are joined in p
 Within a block every run of white space, line breaks included, becomes one space; character references are decoded.
 
 Defined cases: a null, empty or tagless-and-blank page gives an empty text; a page without any container gives the text
-of its blocks; a broken reference or tag at the end of a page that breaks off is text or dropped as browsers do.
+of its blocks; a broken reference or tag at the end of a page that breaks off is text or dropped as browsers do; very
+long and very deep pages take time in proportion to their length; repeated rows give repeated results, an empty table none;
+other columns are carried along, but for one named as a result, which the result replaces.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,12 +61,14 @@ _SPACE = re.compile(r"[\s​﻿]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "main", "doubt", "score", "size", "linked")
+    __slots__ = ("tag", "parent", "children", "drop", "main", "doubt", "score", "size", "linked", "within", "sums")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False, main: bool = False, doubt: str = ""):
         self.tag, self.parent, self.drop, self.main, self.doubt = tag, parent, drop, main, doubt
         self.children: list[Node | str] = []
         self.score, self.size, self.linked = 0.0, 0, 0
+        self.within = False
+        self.sums = [0, 0, 0]
 
 
 def _kind(tag: str, raw: str, inside_main: bool) -> tuple[bool, bool, str]:
@@ -92,69 +97,114 @@ def _kind(tag: str, raw: str, inside_main: bool) -> tuple[bool, bool, str]:
     return False, main, doubt
 
 
+class _Open:
+    """The open elements, with counts by which a search for one that isn't there is never begun.
+
+    tags counts all of them; in each block, inline counts the inline elements opened since; in each element of SCOPE,
+    scoped counts what was opened since. So every step up the tree closes an element for good.
+    """
+
+    def __init__(self, root: Node):
+        self.here, self.main = root, 0
+        self.tags: Counter[str] = Counter([root.tag])
+        self.inline, self.scoped, self.scopes = [Counter()], [Counter()], [root]
+
+    def enter(self, node: Node) -> None:
+        self.here = node
+        self.main += node.main
+        self.tags[node.tag] += 1
+        if node.tag in BLOCKS:
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][node.tag] += 1
+        if node.tag in SCOPE:
+            self.scoped.append(Counter())
+            self.scopes.append(node)
+        else:
+            self.scoped[-1][node.tag] += 1
+
+    def leave(self) -> None:
+        node = self.here
+        self.main -= node.main
+        self.tags[node.tag] -= 1
+        if node.tag in BLOCKS:
+            self.inline.pop()
+        else:
+            self.inline[-1][node.tag] -= 1
+        if node.tag in SCOPE:
+            self.scoped.pop()
+            self.scopes.pop()
+        else:
+            self.scoped[-1][node.tag] -= 1
+        self.here = node.parent
+
+    def end(self, tag: str) -> bool:
+        """Closes the innermost element of a tag and all within it; an inline end tag never closes a block."""
+        if tag == "html" or not (self.tags if tag in BLOCKS else self.inline[-1])[tag]:
+            return False
+        while self.here.tag != tag:
+            self.leave()
+        self.leave()
+        return True
+
+    def make_room(self, tag: str) -> None:
+        """Closes what a block's start ends by itself: an open paragraph, and of its own kind what can't hold it."""
+        closing = ("p", *CLOSED_BY.get(tag, ())) if tag in CLOSES_P else CLOSED_BY.get(tag, ())
+        if any(self.scoped[-1][t] for t in closing):
+            while self.here.tag not in closing:
+                self.leave()
+            self.leave()
+        elif self.scopes[-1].tag in closing:  # a cell ends the cell that it starts in
+            scope = self.scopes[-1]
+            while self.here is not scope:
+                self.leave()
+            self.leave()
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text nodes have their references decoded."""
     root = Node("html", None)
-    here, at, n = root, 0, len(page)
-    inside_main = 0
+    at, n = 0, len(page)
+    opened = _Open(root)
     while at < n:
         found = _TOKEN.search(page, at)
         if found is None:
-            here.children.append(entities.unescape(page[at:]))
+            opened.here.children.append(entities.unescape(page[at:]))
             break
         if found.start() > at:
-            here.children.append(entities.unescape(page[at : found.start()]))
+            opened.here.children.append(entities.unescape(page[at : found.start()]))
         at = found.end()
         if found[1]:
             tag = found[1].lower()
-            node = here
-            while node is not None and node.tag != tag:
-                if tag not in BLOCKS and node.tag in BLOCKS:  # an inline end tag never closes a block
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                while here is not node:
-                    inside_main -= here.main
-                    here = here.parent
-                inside_main -= here.main
-                here = here.parent
-            elif tag == "br":
-                here.children.append(" ")
+            if not opened.end(tag) and tag == "br":
+                opened.here.children.append(" ")
         elif found[2]:
             tag, raw = found[2].lower(), found[3]
             if not found[4]:
                 break  # a tag that the page breaks off in
-            if tag in CLOSES_P or tag in CLOSED_BY:
-                closing = ("p", *CLOSED_BY.get(tag, ())) if tag in CLOSES_P else CLOSED_BY[tag]
-                node, scope = here, 0
-                while node is not None and node.tag not in SCOPE:
-                    if node.tag in closing:
-                        here, scope = node.parent, 1
-                        break
-                    node = node.parent
-                if not scope and node is not None and node.tag in closing:
-                    here = node.parent
-            if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in _line(here))):
+            opened.make_room(tag)
+            if tag == "html" or (tag == "body" and opened.tags["body"]):
                 continue
-            node = Node(tag, here, *_kind(tag, raw, inside_main > 0))
-            main = node.main
-            here.children.append(node)
+            node = Node(tag, opened.here, *_kind(tag, raw, opened.main > 0))
+            opened.here.children.append(node)
             if tag in RAW and not raw.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 if tag not in DROPPED:
                     node.children.append(page[at : end.start() if end else n])
                 at = end.end() if end else n
             elif tag not in VOID and not (raw.endswith("/") and tag not in BLOCKS):
-                here = node
-                inside_main += main
+                opened.enter(node)
     return root
 
 
-def _line(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+def _in_order(root: Node) -> list[Node]:
+    """All elements, parents first, in page order; what is dropped is left out."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += [c for c in reversed(node.children) if isinstance(c, Node) and not c.drop]
+    return out
 
 
 def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
@@ -194,51 +244,62 @@ def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
-def _doubted(root: Node) -> list[Node]:
-    """The elements that may be boilerplate, outer ones first."""
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.doubt:
-            out.append(node)
-        stack += [c for c in reversed(node.children) if isinstance(c, Node) and not c.drop]
-    return out
+def _sums(root: Node) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """The elements and blocks that aren't dropped. Each element's sums, made from the leaves up in one pass: its text
+    without links and headings, what of it is marked as main text, and its first headings.
+    """
+    nodes, blocks = _in_order(root), blocks_of(root)
+    marked = {id(root): False}
+    for node in nodes:
+        node.sums = [0, 0, 0]
+        if node.parent is not None:
+            node.within = node.parent.within or node.parent.main
+            marked[id(node)] = marked[id(node.parent)] or (node.main and not node.doubt)
+    for owner, text, linked in blocks:
+        size = len(text) - linked if owner.tag not in HEADINGS else 0
+        for k, x in enumerate((size, size * marked[id(owner)], int(owner.tag == "h1"))):
+            owner.sums[k] += x
+    for node in reversed(nodes[1:]):
+        for k in range(3):
+            node.parent.sums[k] += node.sums[k]
+    return nodes, blocks
 
 
 def settle(root: Node) -> list[tuple[Node, str, int]]:
     """The blocks that are left when elements in doubt are dropped, except those that hold most of the page's text.
 
-    Links and headings don't count as text. An element in doubt stays if it has more than half of the page's text and
-    more than four times what is marked as main text outside of it, or, within the main text, all headings of the first
-    level; a foreign one stays only if there is no other text.
+    Foreign ones (comments, adverts, ...) are looked at first: they go if there is other text, unless all marked text is
+    inside. Of the rest, an element in doubt stays if it has more than half of the page's text and more than four times what is
+    marked as main text outside of it, or, within the main text, all headings of the first level.
     """
-    doubted, blocks = _doubted(root), blocks_of(root)
-    if not doubted:
-        return blocks
-    texts, held, total = [], dict.fromkeys(map(id, doubted), 0), 0
-    tops = [{id(x) for x in _line(owner)} for owner, _, _ in blocks if owner.tag == "h1"]
-    for owner, text, linked in blocks:
-        size = len(text) - linked if owner.tag not in HEADINGS else 0
-        within = [x for x in _line(owner) if x.doubt]
-        marked = any(x.main and not x.doubt for x in _line(owner))
-        texts.append((size, marked, within))
-        total += size
-        for x in within:
-            held[id(x)] += size
-    for node in doubted:
-        own = held[id(node)]
-        if FOREIGN.search(node.doubt):
-            node.drop = own < total or not own
-        elif tops and all(id(node) in x for x in tops) and any(x.main for x in _line(node.parent)):
+    nodes, blocks = _sums(root)
+    for foreign in (True, False):
+        doubted = [x for x in nodes if x.doubt and bool(FOREIGN.search(x.doubt)) == foreign]
+        if not doubted:
             continue
-        else:
-            node.drop = 2 * own <= total or own <= 4 * sum(size for size, marked, within in texts if marked and node not in within and not any(x.drop for x in within))
-    left = blocks_of(root)
-    if not left:  # nothing but elements in doubt
+        total, left_marked, headings = root.sums
+        gone: set[int] = set()
         for node in doubted:
-            node.drop = False
-        return blocks
-    return left
+            if id(node.parent) in gone:
+                continue
+            own, own_marked, own_headings = node.sums
+            wrapped = own_marked > 0 and own_marked == left_marked
+            if foreign and not wrapped:
+                node.drop = own < total or not own
+            elif headings and own_headings == headings and node.within:
+                continue
+            else:
+                node.drop = 2 * own <= total or own <= 4 * (left_marked - own_marked)
+            if node.drop:
+                left_marked -= own_marked
+                gone.update(id(x) for x in _in_order(node))
+        before = blocks
+        nodes, blocks = _sums(root)
+        if before and not blocks:  # nothing but elements in doubt
+            for node in doubted:
+                node.drop = False
+            nodes, blocks = _sums(root)
+    return blocks
 
 
 def _containers(owner: Node) -> list[Node]:
@@ -251,7 +312,8 @@ def extract(page: str | None) -> str:
     """The main text of a page: its blocks, one a line."""
     if not page or not page.strip():
         return ""
-    blocks = settle(parse(page))
+    root = parse(page)
+    blocks = settle(root)
     if not blocks:
         return ""
     scored: dict[int, Node] = {}
@@ -263,9 +325,12 @@ def extract(page: str | None) -> str:
                 scored[id(node)] = node
                 node.score = 25.0 if node.tag in ("article", "main") else 10.0 if node.main else 0.0
             node.score += share * points
-        for node in _line(owner):
-            node.size += len(text)
-            node.linked += linked
+        owner.size += len(text)
+        owner.linked += linked
+    nodes = _in_order(root)
+    for node in reversed(nodes[1:]):
+        node.parent.size += node.size
+        node.parent.linked += node.linked
     value = {k: node.score * (1 - min(1.0, node.linked / max(1, node.size))) for k, node in scored.items()}
     best = scored[max(value, key=lambda k: value[k])]
     # An article in parts: the container that holds several good ones is better than any of them.
@@ -283,8 +348,10 @@ def extract(page: str | None) -> str:
             prose = sibling.tag == "p" and density < 0.25 and (sibling.size > 80 or density == 0)
             if value.get(id(sibling), 0.0) >= least or prose:
                 keep.add(id(sibling))
-    lines = [text for owner, text, _ in blocks if any(id(x) in keep for x in _line(owner))]
-    return "\n".join(lines)
+    for node in nodes:
+        if node.parent is not None and id(node.parent) in keep:
+            keep.add(id(node))
+    return "\n".join(text for owner, text, _ in blocks if id(owner) in keep)
 
 
 def html_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

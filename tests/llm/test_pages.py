@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -52,6 +54,8 @@ MARKED = {
     f'<div class="main-nav">{ASIDE}Home, sweet, home</div><div>{STORY}</div>': TOLD,
     f'<div class="ad content"><p>Buy, buy, buy, buy, buy.</p></div><div>{STORY}</div>': TOLD,
     f'<div class=comments>{STORY}</div>': TOLD,
+    f'<div class="related copyright"><article>{STORY}</article></div><div><p>Read more</p></div>': TOLD,
+    f'<div class="post-content tags">{STORY}</div><div class="comments">{STORY * 5}</div>': TOLD,
     '<div class=sidebar><p>a, b</p></div><div class=widget><p>c, d</p></div>': "a, b",
     f'<article><div class="title-banner"><h1>Title</h1></div>{STORY}</article>': f"Title\n{TOLD}",
 }
@@ -62,6 +66,74 @@ def test_main_text_in_elements_with_boilerplate_words(page):
     assert ht.extract(page) == MARKED[page]
 
 
+@pytest.mark.parametrize("label", ["content has-sidebar", "post-content tags", "entry-content share", "main-content with-comments", "article-body no-nav", "story related-posts-hidden"])
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_no_article_is_lost_by_a_word(label, attribute):
+    page = f'<body><nav>Home</nav><div {attribute}="{label}">{STORY * 3}</div><div class=sidebar><p>Buy this, now, here.</p></div></body>'
+    assert ht.extract(page) == "\n".join([TOLD] * 3)
+
+
+def random_page(r):
+    """A page made around a known article: (html, text)."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randrange(a, b)))
+    links = lambda: "".join(f"<li><a href='/{word()}'>{words(1, 4)}</a></li>" for _ in range(r.randrange(2, 9)))
+    junk = [
+        lambda: f"<nav><ul>{links()}</ul></nav>", lambda: f"<header><h2>{words(1, 4)}</h2></header>", lambda: f"<aside><p>{words(5, 30)}</p></aside>",
+        lambda: f'<div class="sidebar {word()}"><h3>{words(1, 3)}</h3><ul>{links()}</ul></div>', lambda: f'<div id="cookie-notice"><p>{words(4, 25)}, {words(2, 5)}</p></div>',
+        lambda: f"<form action='/s'><label>{words(1, 3)}</label><input name=q><button>{word()}</button></form>", lambda: f"<script>var a = '<p>{words(2, 9)}</p>';</script>",
+        lambda: f"<style>.a {{ color: red }}</style><!-- <p>{words(2, 5)}</p> -->", lambda: f'<div class="ad"><p>{words(3, 12)}</p></div>', lambda: f"<footer><p>{words(2, 12)}</p></footer>",
+        lambda: f'<section class="comments"><h3>{word()}</h3>' + "".join(f"<p>{words(4, 30)}, {words(3, 9)}</p>" for _ in range(r.randrange(1, 6))) + "</section>",
+    ]
+    bits = lambda: "".join(r.choice(junk)() for _ in range(r.randrange(0, 4)))
+    blocks, out = [], []
+    for k in range(r.randrange(3, 12)):
+        kind = r.choice(["p", "p", "p", "blockquote", "h2"]) if k > 2 else "p" if k else "h1"
+        text = f"{words(12, 40)}, {words(5, 30)} &amp; {words(3, 9)}." if kind[0] != "h" else words(2, 8)
+        shown = text.replace(" ", r.choice([" ", "\n  ", "\t"]), 2)
+        if r.random() < 0.3:
+            shown = shown.replace(" ", " <b>", 1) + "</b>"
+        blocks.append(f"<{kind}>{shown}</{kind}>")
+        out.append(text.replace("&amp;", "&"))
+        if r.random() < 0.15:
+            blocks.append(r.choice(junk[5:9])())
+    label = r.choice(['class="content has-sidebar"', 'class="post-content tags"', 'id=content', 'class="entry-content share"', 'class=post', 'class="x1"', 'role=main', ""])
+    inner = f"<div {label}>{''.join(blocks)}</div>"
+    for _ in range(r.randrange(0, 3)):
+        inner = r.choice(["<div>{}</div>", "<main>{}</main>", '<div class="wrap"><div>{}</div></div>', "<article>{}</article>"]).format(inner)
+    return f"<html><head><title>{words(1, 5)}</title></head><body>{bits()}{inner}{bits()}</body></html>", "\n".join(out)
+
+
+def test_random_pages_give_the_article_that_they_were_made_around():
+    r = random.Random(12)
+    for _ in range(600):
+        page, text = random_page(r)
+        assert ht.extract(page) == text, page
+
+
+UNITS = {"divs": ("<div>", "</div>"), "spans": ("<span>", "</span>"), "bold": ("<b><i>", "</b>"), "lists": ("<ul><li>", ""), "tables": ("<table><tr><td>", ""), "doubted": ('<div class="sidebar">', "</div>"), "stray": ("</section>", "</b>"), "paragraphs": ("<span><p>a", "")}
+
+
+@pytest.mark.parametrize("name", UNITS)
+def test_time_grows_with_a_page_however_deep_it_is(name):
+    before, after = UNITS[name]
+
+    def seconds(n):
+        page = before * n + "deep, and long" + after * n + "<p>x" * 50
+        began = time.process_time()
+        assert ht.extract(page)
+        return time.process_time() - began
+
+    a, b = min(seconds(12_500) for _ in range(2)), min(seconds(50_000) for _ in range(2))
+    assert b < 4 * a * 1.8 + 0.2 and b < 4
+
+
+def test_fifty_thousand_divs_take_a_second():
+    began = time.process_time()
+    assert ht.extract("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep"
+    assert time.process_time() - began < 1.5
+
+
 def test_deep_and_long_pages():
     assert ht.extract("<div>" * 4000 + "deep" + "</div>" * 4000) == "deep"
     assert len(ht.extract("<p>" + "a, " * 200_000)) == 599_999
