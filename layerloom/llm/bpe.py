@@ -6,11 +6,14 @@ can follow the last one, else the next shorter token is tried, and if none is le
 of tokens is compatible if merging would never join them: no merge of a token on the right edge of the first with one
 on the left edge of the second comes before the merges that hide these edges. A sequence whose neighbours are all
 compatible is the one that merging by rank gives, so the result is exact; positions from which nothing could follow
-are marked and never tried again, so the time is linear. Pre-tokens repeat, so a bounded table keeps their tokens.
+are marked and never tried again, and the automaton only ever sees as many bytes as the longest token has, so the time
+is linear in a pre-token's length too. Pre-tokens repeat, so a bounded table keeps their tokens. A long text is cut into
+pre-tokens a part at a time, at places where one surely starts.
 
 Decoding looks up each id's bytes in one array by an offset table; bytes that are no UTF-8 become U+FFFD.
 
-Defined cases: a null or empty text has no tokens and decodes to an empty text.
+Defined cases: a null or empty text has no tokens and decodes to an empty text; very long texts, also of one pre-token, are
+worked on whole; repeated rows give repeated results, an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pre-tokens whose tokens are kept, and their length at most.
 KEPT, KEPT_LENGTH = 300_000, 64
 PAIRS = 1_000_000
+#: Characters whose pre-tokens are held at a time, about.
+PART = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,6 +88,7 @@ class Encoder(dict):
         self.longest.make_automaton()
         self.size = {i: len(t) for i, t in vocabulary.tokens.items()}
         self.find = regex.compile(PATTERN).findall
+        self.start = regex.compile(r"(?<=\S) (?=\S)").search  # a pre-token starts with such a space
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
         self.most = max(self.size.values())
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -135,7 +141,7 @@ class Encoder(dict):
             last = token
         if at == n:
             return tuple(out)
-        longest = lambda at: next(self.longest.iter_long(text, at, min(n, at + self.most)))[1]
+        longest = lambda at: next(self.longest.iter_long(text[at : at + self.most]))[1]
         dead: set[int] = set()
         while True:
             last = out[-1] if out else -1
@@ -161,6 +167,17 @@ class Encoder(dict):
         return ids
 
     def _plain(self, text: str) -> bytes:
+        if len(text) <= 2 * PART:
+            return self._known(text)
+        out, at = [], 0
+        while at < len(text):
+            gap = self.start(text, at + PART) if len(text) - at > 2 * PART else None
+            to = gap.start() if gap else len(text)
+            out.append(self._known(text[at:to]))
+            at = to
+        return b"".join(out)
+
+    def _known(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> np.ndarray:
