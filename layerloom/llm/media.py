@@ -5,14 +5,16 @@ quantised DC coefficient is the byte less 128, all AC coefficients are 0, so the
 the size) holds exactly the payload. Images are 24 * 8 pixels wide or a multiple of it, and a restart marker follows
 every 576 blocks. A payload too long for one image's 65,535 rows and columns goes to several images, one after another.
 
-Reading parses the markers, removes stuffed bytes, Huffman-decodes the scan and rebuilds the thumbnail in numpy. All
-restart intervals of a batch are decoded side by side, one table lookup a step. decode() reads any greyscale or
+Reading parses the markers, removes stuffed bytes, Huffman-decodes the scan and rebuilds the thumbnail in numpy. Restart
+intervals of a batch are decoded side by side, LANES at a time, one table lookup a step; writing goes through as many units at a
+time. So the arrays of numbers have a fixed size, and a long text takes memory of some six times its bytes. decode() reads any greyscale or
 colour baseline JPEG of 8-bit samples with Huffman coding, sampling factors and AC coefficients included (which it skips).
 
 Feature: width and height in pixels, the number of images and a difference hash of 64 bits of the thumbnail.
 
-Defined cases: a null or empty text is stored as one unit of 576 bytes 255; equal texts give equal values; a broken
-image raises ValueError.
+Defined cases: a null or empty text is stored as one unit of 576 bytes 255; equal texts give equal values, repeated rows
+repeated results; a very long text is stored whole; an empty table gives an empty result; other columns are ignored; a
+broken image raises ValueError.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ MOST_BLOCKS = 65_535 // 8
 #: Bytes of one image's thumbnail, at most.
 MOST_BYTES = (MOST_BLOCKS // COLUMNS) * COLUMNS * (MOST_BLOCKS // COLUMNS) * COLUMNS
 SLICE_BYTES = 2 << 20
+#: Units that are written, or restart intervals that are read, side by side.
+LANES = SLICE_BYTES // UNIT
 
 # Huffman tables as (codes of each length 1..16, symbols). DC: a difference of s bits has a code of 9 - s bits.
 DC_TABLE = ([1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [8, 7, 6, 5, 4, 3, 2, 1, 0])
@@ -140,19 +145,19 @@ def payload(text: bytes) -> bytes:
 
 def encode_all(payloads: list[bytes]) -> list[bytes]:
     """Each payload, a positive multiple of UNIT bytes, as one or more JPEGs."""
-    units = _scans(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT))
-    out, at = [], 0
+    samples = np.frombuffer(payloads[0] if len(payloads) == 1 else b"".join(payloads), np.uint8).reshape(-1, UNIT)
+    units = (x for k in range(0, len(samples), LANES) for x in _scans(samples[k : k + LANES]))
+    out = []
     for p in payloads:
         images = []
         for wide, high in shapes(len(p)):
             count = wide * high // UNIT
-            parts = [_header(wide, high)]
+            image = bytearray(_header(wide, high))
             for k in range(count):
-                parts.append(units[at + k])
-                parts.append(bytes([0xFF, 0xD0 + k % 8]) if k < count - 1 else b"\xff\xd9")
-            images.append(b"".join(parts))
-            at += count
-        out.append(b"".join(images))
+                image += next(units)
+                image += bytes([0xFF, 0xD0 + k % 8]) if k < count - 1 else b"\xff\xd9"
+            images.append(image)
+        out.append(bytes(images[0]) if len(images) == 1 else b"".join(images))
     return out
 
 
@@ -311,20 +316,33 @@ def thumbnails(images: list[Image]) -> list[np.ndarray]:
                 lanes.append(lane)
                 counts.append(min(each, left) * len(steps))
                 left -= each
-        values, at = _dc_values(lanes, list(steps), np.array(counts)), 0
+        flat, at = np.empty(sum(counts), np.int16), 0  # a quantised DC value has 12 bits
+        most = max(1, LANES * UNIT // max(counts))
+        for low in range(0, len(lanes), most):
+            few = np.array(counts[low : low + most])
+            values = _dc_values(lanes[low : low + most], list(steps), few)
+            if few.min() == few.max():
+                flat[at : at + values.size] = values.ravel()
+            else:
+                flat[at : at + int(few.sum())] = values[np.arange(values.shape[1]) < few[:, None]]
+            at += int(few.sum())
+        at = 0
         for i in members:
-            x, (_, across, down) = images[i], images[i].blocks()
-            n = len(x.intervals)
-            flat = np.concatenate([values[at + k, : counts[at + k]] for k in range(n)]).reshape(across * down, len(steps))
+            _, across, down = images[i].blocks()
+            n = across * down * len(steps)
+            out[i] = _luminance(images[i], flat[at : at + n].reshape(across * down, len(steps)), across, down)
             at += n
-            out[i] = _luminance(x, flat, across, down)
     return out
 
 
 def _luminance(x: Image, flat: np.ndarray, across: int, down: int) -> np.ndarray:
     h, v = (1, 1) if len(x.parts) == 1 else (x.parts[0][1] >> 4, x.parts[0][1] & 15)
     grid = flat[:, : h * v].reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-    samples = np.clip(np.floor_divide(grid * x.quant[x.parts[0][2]] + 4, 8) + 128, 0, 255).astype(np.uint8)
+    samples = np.empty(grid.shape, np.uint8)
+    rows = max(1, SLICE_BYTES // grid.shape[1])
+    for at in range(0, len(grid), rows):
+        values = np.floor_divide(grid[at : at + rows].astype(np.int32) * x.quant[x.parts[0][2]] + 4, 8) + 128
+        samples[at : at + rows] = np.clip(values, 0, 255)
     if len(x.parts) == 1:
         return samples
     high, wide = max(p[1] & 15 for p in x.parts), max(p[1] >> 4 for p in x.parts)
@@ -351,17 +369,17 @@ def _store(keep_media: bool):
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-                stored = encode_all([payload(t) for t in texts])
+                sizes = pc.binary_length(part.column("text")).fill_null(0).to_pylist()
+                stored = encode_all([payload((t or "").encode()) for t in part.column("text").to_pylist()])
                 images = [_all_images(m) for m in stored]
                 found = iter(thumbnails([x for i in images for x in i]))
                 rows = []
-                for t, m, own in zip(texts, stored, images, strict=True):
+                for size, m, own in zip(sizes, stored, images, strict=True):
                     thumbs = [next(found) for _ in own]
-                    back = b"".join(x.tobytes() for x in thumbs)
+                    back = thumbs[0].tobytes() if len(thumbs) == 1 else b"".join(x.tobytes() for x in thumbs)
                     hashed = "".join(f"{difference_hash(x):016x}" for x in thumbs)
                     feature = f"{own[0].width}x{own[0].height}x{len(own)}:{hashed}"
-                    rows.append((len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, own[0].width, own[0].height))
+                    rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, own[0].width, own[0].height))
                 columns = [part.column("id"), *([pa.array(stored, pa.binary())] if keep_media else [])]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                 columns += [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import CLASH
 
@@ -37,6 +38,29 @@ def test_payloads_too_long_for_one_image(monkeypatch):
     assert len(thumbs) > 1 and b"".join(t.tobytes() for t in thumbs) == p
 
 
+def test_a_long_text_needs_a_few_times_its_bytes():
+    import tracemalloc
+
+    size = 576 * 30_000
+    text = np.random.default_rng(4).integers(32, 127, size, dtype=np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text": [text]})
+    tracemalloc.start()
+    (found,) = md._store(False)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.column("payload_sha256").to_pylist() == [hashlib.sha256(text.encode()).hexdigest()]
+    assert peak < 7 * size + 200e6
+
+
+def test_lanes_do_not_change_what_is_written_or_read(monkeypatch):
+    found = payloads()
+    stored = md.encode_all(found)
+    monkeypatch.setattr(md, "LANES", 3)
+    assert md.encode_all(found) == stored
+    for p, x in zip(found, stored, strict=True):
+        assert b"".join(t.tobytes() for t in md.decode(x)) == p
+
+
 def _write_bits(symbols):
     out = "".join(symbols)
     out += "1" * (-len(out) % 8)
