@@ -13,7 +13,9 @@ U+00C0 to U+00DE) before features are taken; a word without letters has none and
 Chains of a batch advance side by side: each step is one small matrix product over all texts that are still that long.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; so is every text if nothing could be
-learned; with one learned language all else is that language. Ties go to the language that sorts first.
+learned; with one learned language all else is that language. Ties go to the language that sorts first. Very long texts
+are labelled whole; repeated rows get repeated results, an empty table none; other columns are carried along whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from layerloom.llm._spark import batched, packed_row
 from layerloom.llm._stats import slices
 from layerloom.llm._words import U, buffers, mix, word_hashes, word_spans
 
-#: Documents to learn from in each language, about, and the bytes of the longest of them.
-SAMPLE, SAMPLE_BYTES = 300, 1 << 18
+#: Documents to learn from in each language, about, and the characters taken from each, from a place that its hash picks.
+SAMPLE, SAMPLE_CHARS = 300, 1 << 15
 BUCKETS, GRAMS = 1 << 16, (1, 2, 3, 4)
 CHAINS, CHAIN, SPAN = 2500, 40, 12
 ROUNDS, STEP, SHRINK = 30, 0.4, 1e-6
@@ -307,13 +309,16 @@ def learn_from(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Languag
     """A model of the languages that usable rows of docs (lang, text) name, from about `sample` of them in each.
 
     The bound is the sample's size and concerns learning only: of each language the rows with the smallest hashes of
-    their ids are taken, and none longer than SAMPLE_BYTES.
+    their ids and texts are taken, and of a text longer than SAMPLE_CHARS so many characters from a place picked by its hash.
     """
-    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return learn([], [])
     cuts = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, math.ceil(min(1.0, sample / n) * 2**31))])
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < cuts[F.col("lang")])
-    found = chosen.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).toPandas().sort_values(["h", "lang"])
+    h = F.xxhash64("doc_id", "text")
+    start = F.pmod(h, F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    spans = chosen.select("lang", F.col("text").substr(start, F.lit(SAMPLE_CHARS)).alias("text"), h.alias("h"))
+    found = spans.orderBy("h", "lang").limit(2 * sample * len(counts) + 100).toPandas()  # one id may have many rows
     return learn(found["text"].tolist(), found["lang"].tolist())

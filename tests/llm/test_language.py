@@ -78,6 +78,25 @@ def test_features_do_not_depend_on_company(monkeypatch):
     assert np.allclose(words.scores(weights)[words.kinds], together)
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    r = np.random.default_rng(3)
+    words = {"xx": ["lom", "tarik", "venu", "ossa"], "yy": ["grabel", "hust", "pfin", "zwek"]}
+    text = {k: lambda n, w=w: " ".join(r.choice(w, n)) for k, w in words.items()}
+    rows = [(i, text["xx"](80_000), "xx") for i in range(4)] + [(10 + i, text["yy"](60), "yy") for i in range(30)]
+    model = li.learn_from(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert model.languages == ("xx", "yy")
+    assert li.predict(model, pa.array([text["xx"](9), text["yy"](9), text["xx"](90_000)]))[0] == ["xx", "yy", "xx"]
+
+
+def test_a_sample_stays_bounded_where_one_id_has_many_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(li, "learn", lambda texts, languages: seen.append(len(texts)))
+    rows = spark.range(5000).selectExpr("1 as doc_id", "concat('word ', id) as text", "'xx' as lang")
+    li.learn_from(rows.unionAll(spark.range(100).selectExpr("id", "'other'", "'yy'")), F.lit(True), sample=4900)
+    li.learn_from(rows, F.lit(True), sample=10)
+    assert seen[1] <= 120
+
+
 def test_degenerate_models(docs, spark):
     none = li.learn([], [])
     assert [r["lang_pred"] for r in li.identify(docs([(1, "word")]), none).collect()] == ["und"]
