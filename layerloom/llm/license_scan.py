@@ -2,24 +2,25 @@
 
 Method. A paragraph is a line of text. Its features are the word 1-grams and 2-grams of a learned vocabulary. A
 multinomial logistic regression with an L1 penalty, trained on the driver from the licence sentences below and from
-ordinary paragraphs, gives each family and `none` a probability. Families are told from an unknown licence by a
-threshold calibrated by leaving families out: sentences of a family that the model has not seen should fall below it,
-reworded sentences of those that it has seen above it. Last, the paragraph's n-grams are compared with the family's
-sentences; a prediction counts as confirmed if it shares enough of them with one.
+ordinary paragraphs, gives each family and `none` a probability. Then the paragraph's n-grams are compared with the best
+family's sentences: a prediction counts as confirmed if it shares enough of them with one. How likely a notice's best
+family is the right one at all is calibrated by leaving families out: a logistic curve over the log-odds of the best
+family's share and the likeness of its closest sentence, fitted (Platt) to reworded sentences of families that the model
+has seen and to sentences of families that it has not, each kind half of all; below a half the notice is `unknown`.
 
 Scoring is native: split, filter, transform and aggregate over arrays within each row, no shuffle and no Python. Only
 paragraphs with a word of the vocabulary are scored; all others have no feature and are `none` by the model's bias.
 
 Defined cases: a null or empty text has no paragraph and licence `none`, score 0; a licence notice of no known family is
 `unknown`; of several paragraphs the most probable one names the document's licence, `families` lists all; a very long
-line is a paragraph like any other.
+line is a paragraph like any other; repeated rows get repeated results, an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -106,8 +107,12 @@ ORDINARY = (
     "General opinion was that the author had a point.", "A licence fee is paid by every household.",
 )
 NONE, UNKNOWN = "none", "unknown"
-#: Ordinary paragraphs taken from the corpus to learn from, at most, and their characters.
-SAMPLE, SAMPLE_CHARS = 4_000, 400
+#: Ordinary paragraphs taken from the corpus to learn from, at most.
+SAMPLE = 4_000
+#: Share of ordinary paragraphs (or, in few of them, their number) beyond which an n-gram says nothing.
+COMMON, COMMON_LEAST = 0.002, 2
+#: Words of an ordinary paragraph that are put around training sentences.
+FILLER = 6
 #: Least share of a template's or of the paragraph's n-grams that confirms a prediction.
 CONFIRMED = 0.6
 _WORD = "[^a-z0-9.-]+"
@@ -119,6 +124,11 @@ def grams(paragraph: str) -> list[str]:
     return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]))
 
 
+def likeness(own: list[str], sentence: list[str]) -> float:
+    """The share of n-grams that a paragraph and a sentence have in common, of the one that has fewer."""
+    return len(set(own) & set(sentence)) / max(1, min(len(own), len(sentence)))
+
+
 @dataclass(frozen=True)
 class LicenseModel:
     """weights: one row for each n-gram of the vocabulary, one column for each class; `none` is the last class."""
@@ -127,7 +137,17 @@ class LicenseModel:
     vocabulary: tuple[str, ...]
     weights: np.ndarray
     bias: np.ndarray
-    threshold: float
+    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+    def evidence(self, paragraph: str) -> tuple[float, float, float]:
+        """What the calibrated curve looks at: log-odds of the best family's share, likeness to its closest sentence, 1."""
+        p, own = self.probabilities(paragraph), grams(paragraph)
+        share = min(max(p[:-1].max() / max(1e-12, 1 - p[-1]), 1e-9), 1 - 1e-9)
+        return float(np.log(share / (1 - share))), max(likeness(own, grams(t)) for t in TEMPLATES[self.classes[p[:-1].argmax()]]), 1.0
+
+    def known(self, paragraph: str) -> float:
+        """The calibrated probability that a notice is of its best family."""
+        return float(1 / (1 + np.exp(-np.dot(self.curve, self.evidence(paragraph)))))
 
     def probabilities(self, paragraph: str) -> np.ndarray:
         own = set(grams(paragraph))
@@ -139,7 +159,7 @@ class LicenseModel:
         p = self.probabilities(paragraph)
         if p[-1] >= 0.5:
             return NONE
-        return self.classes[p[:-1].argmax()] if p[:-1].max() / (1 - p[-1]) >= self.threshold else UNKNOWN
+        return self.classes[p[:-1].argmax()] if self.known(paragraph) >= 0.5 else UNKNOWN
 
 
 def _reworded(sentence: str, random: np.random.Generator, filler: list[str]) -> str:
@@ -149,11 +169,9 @@ def _reworded(sentence: str, random: np.random.Generator, filler: list[str]) ->
     return " ".join(around() + words + around())
 
 
-def _fit(paragraphs: list[str], labels: list[int], classes: int, own: set[str], common: Counter, penalty: float = 2e-4, rounds: int = 250) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """L1-penalised multinomial regression, by accelerated proximal steps, over the n-grams `own` that are rare elsewhere."""
-    found = [grams(p) for p in paragraphs]
-    n = len(found)
-    vocabulary = sorted(g for g in own if common[g] <= 0.002 * n)
+def _fit(found: list[list[str]], labels: list[int], classes: int, own: set[str], penalty: float = 2e-4, rounds: int = 250) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """L1-penalised multinomial regression of paragraphs' n-grams, by accelerated proximal steps, over the n-grams `own`."""
+    n, vocabulary = len(found), sorted(own)
     index = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((n, len(vocabulary)), np.float32)
     for i, gs in enumerate(found):
@@ -178,36 +196,47 @@ def _fit(paragraphs: list[str], labels: list[int], classes: int, own: set[str],
     return [vocabulary[i] for i in used], w[used].astype(float), b.astype(float)
 
 
-def learn(ordinary: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> LicenseModel:
+def _platt(z: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, ...]:
+    """A logistic curve through (z, y), whose last column is 1, both kinds of y weighing the same."""
+    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
+    target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))  # as Platt smooths them
+    w, ridge = np.zeros(z.shape[1]), 1e-4 * np.eye(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + ridge, z.T @ (weight * (p - target)) + ridge @ w)
+    return tuple(float(x) for x in w)
+
+
+def learn(ordinary: list[list[str]], filler: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> LicenseModel:
+    """The model; ordinary: the n-grams of ordinary paragraphs, of which only those that templates hold matter; filler: ordinary words."""
     random = np.random.default_rng(5)
-    ordinary = [*ordinary, *ORDINARY * 8]
-    filler = [w for p in ordinary[:500] for w in p.split()[:6]][:2000]
-    common = Counter(g for p in ordinary for g in grams(p))
+    common = Counter(g for p in ordinary for g in set(p))
+    most = max(COMMON_LEAST, COMMON * len(ordinary))
+    plain = {g for s in ORDINARY for g in grams(s)}
+    examples = [*ordinary, *map(grams, ORDINARY)]
 
-    def rows(names: list[str]) -> tuple[list[str], list[int], int, set[str]]:
-        paragraphs, labels = list(ordinary), [len(names)] * len(ordinary)
+    def rows(names: list[str]) -> tuple[list[list[str]], list[int], int, set[str]]:
+        found, labels = list(examples), [len(names)] * len(examples)
         for k, name in enumerate(names):
             for sentence in templates[name]:
                 made = [sentence] * 4 + [_reworded(sentence, random, filler) for _ in range(12)]
-                paragraphs += made
+                found += map(grams, made)
                 labels += [k] * len(made)
-        return paragraphs, labels, len(names) + 1, {g for n in names for s in templates[n] for g in grams(s)}
+        return found, labels, len(names) + 1, {g for n in names for s in templates[n] for g in grams(s) if common[g] <= most and g not in plain}
 
     names = sorted(templates)
-    vocabulary, w, b = _fit(*rows(names), common)
-    model = LicenseModel((*names, NONE), tuple(vocabulary), w, b, 0.0)
-    top = lambda m, s: (lambda p: p[:-1].max() / max(1e-9, 1 - p[-1]))(m.probabilities(s))
-    known = [top(model, _reworded(s, random, filler)) for n in names for s in templates[n] for _ in range(4)]
+    vocabulary, w, b = _fit(*rows(names))
+    model = LicenseModel((*names, NONE), tuple(vocabulary), w, b)
+    known = [model.evidence(_reworded(s, random, filler)) for n in names for s in templates[n] for _ in range(4)]
     strange = []
     for fold in range(3):  # families left out, a third at a time
         left = names[fold::3]
         part = [n for n in names if n not in left]
-        words, w2, b2 = _fit(*rows(part), common, rounds=120)
-        other = LicenseModel((*part, NONE), tuple(words), w2, b2, 0.0)
-        strange += [top(other, s) for n in left for s in templates[n]]
-    grid = np.linspace(0.3, 0.95, 66)
-    balance = [np.mean(np.array(known) >= g) * 2 + np.mean(np.array(strange) < g) for g in grid]  # a family missed costs twice
-    return LicenseModel(model.classes, model.vocabulary, model.weights, model.bias, float(grid[int(np.argmax(balance))]))
+        words, w2, b2 = _fit(*rows(part), rounds=120)
+        other = LicenseModel((*part, NONE), tuple(words), w2, b2)
+        strange += [other.evidence(s) for n in left for s in templates[n]]
+    curve = _platt(np.array([*known, *strange]), np.arange(len(known) + len(strange)) < len(known))
+    return replace(model, curve=curve)
 
 
 def _sql_text(x: str) -> str:
@@ -233,6 +262,14 @@ def _any_of(words: set[str]) -> str:
     return tree + "?" if "" in words else tree
 
 
+def _words_sql(line: str) -> str:
+    return f"filter(transform(split(lower({line}), '{_WORD}'), w -> trim(BOTH '.-' FROM w)), w -> w <> '')"
+
+
+def _grams_sql(words: str) -> str:
+    return f"array_distinct(concat({words}, transform(slice({words}, 2, greatest(size({words}) - 1, 0)), (w, i) -> concat({words}[i], ' ', w))))"
+
+
 def license_columns(model: LicenseModel, text: str = "text") -> list[Column]:
     """n_paragraphs, licensed (struct of paragraph, family, score, confirmed for each notice), all as JVM expressions."""
     classes = len(model.classes)
@@ -240,8 +277,8 @@ def license_columns(model: LicenseModel, text: str = "text") -> list[Column]:
     gate = rf"(?<![a-z0-9]){_any_of(words)}(?![a-z0-9])" if words else "(?!)"
     lines = f"filter(split(coalesce({text}, ''), '\\n'), l -> length(trim(l)) > 0)"
     found = f"case when rlike(lower(coalesce({text}, '')), {_sql_text(gate)}) then filter(split({text}, '\\n'), l -> rlike(lower(l), {_sql_text(gate)})) else cast(array() as array<string>) end"
-    words = f"transform({found}, l -> struct(l as line, filter(transform(split(lower(l), '{_WORD}'), w -> trim(BOTH '.-' FROM w)), w -> w <> '') as words))"
-    pairs = f"transform({words}, s -> struct(s.line as line, array_distinct(concat(s.words, transform(slice(s.words, 2, greatest(size(s.words) - 1, 0)), (w, i) -> concat(s.words[i], ' ', w)))) as grams))"
+    words = f"transform({found}, l -> struct(l as line, {_words_sql('l')} as words))"
+    pairs = f"transform({words}, s -> struct(s.line as line, {_grams_sql('s.words')} as grams))"
     vocabulary = _sql_texts(model.vocabulary)
     known = f"transform({pairs}, s -> struct(s.line as line, s.grams as grams, transform(array_intersect(s.grams, {vocabulary}), g -> cast(array_position({vocabulary}, g) as int) - 1) as ids))"
     known = f"filter({known}, s -> size(s.ids) > 0)"
@@ -256,16 +293,23 @@ def license_columns(model: LicenseModel, text: str = "text") -> list[Column]:
     best = f"transform({best}, s -> struct(s.line as line, s.grams as grams, s.inside as inside, s.total as total, array_max(s.z) as top, cast(array_position(s.z, array_max(s.z)) as int) as class))"
     families = _sql_texts(model.classes[:-1])
     sentences = "array(" + ", ".join("array(" + ", ".join(_sql_texts(grams(t)) for t in TEMPLATES[c]) + ")" for c in model.classes[:-1]) + ")"
-    shared = "size(array_intersect(s.grams, t)) >= " + f"{CONFIRMED} * least(size(t), size(s.grams)) and size(array_intersect(s.grams, t)) >= least(3, size(t))"
+    odds = "greatest(least(s.top / s.inside, 1 - 1e-9D), 1e-9D)"
+    closest = f"array_max(transform({sentences}[s.class - 1], t -> struct(size(array_intersect(s.grams, t)) / cast(least(size(t), size(s.grams)) as double) as like, size(array_intersect(s.grams, t)) >= least(3, size(t)) as enough)))"
+    compared = f"transform({best}, s -> struct(s as s, ln({odds} / (1 - {odds})) as odds, {closest} as closest))"
+    a, b, c = (f"{x!r}D" for x in model.curve)
+    rated = f"transform({compared}, r -> struct(r.s as s, r.closest as closest, 1 / (1 + exp(-({a} * r.odds + {b} * r.closest.like + {c}))) as known))"
     notice = (
-        f"transform({best}, s -> struct(s.line as paragraph, case when s.top / s.inside >= {model.threshold!r}D then {families}[s.class - 1] else '{UNKNOWN}' end as family, "
-        f"s.inside / s.total as score, s.top / s.inside >= {model.threshold!r}D and exists({sentences}[s.class - 1], t -> {shared}) as confirmed))"
+        f"transform({rated}, r -> struct(r.s.line as paragraph, case when r.known >= 0.5 then {families}[r.s.class - 1] else '{UNKNOWN}' end as family, "
+        f"r.s.inside / r.s.total as score, r.known as known, r.known >= 0.5 and r.closest.like >= {CONFIRMED}D and r.closest.enough as confirmed))"
     )
     return [F.expr(f"cast(size({lines}) as bigint)").alias("n_paragraphs"), F.expr(notice).alias("licensed")]
 
 
 def license_scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_paragraphs, n_licensed, license, score, confirmed, families, licensed."""
+    """One row for each row of docs: id, n_paragraphs, n_licensed, license, score, known, confirmed, families, licensed.
+
+    score is the probability that the paragraph speaks of a licence at all, known that it is of a known family.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = rows.select(F.col("id").alias(id_col), *license_columns(model))
     order = "(a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.family < b.family then -1 when a.family > b.family then 1 else 0 end"
@@ -276,6 +320,7 @@ def license_scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", t
         F.size("licensed").cast("bigint").alias("n_licensed"),
         F.coalesce("first.family", F.lit(NONE)).alias("license"),
         F.coalesce("first.score", F.lit(0.0)).alias("score"),
+        F.coalesce("first.known", F.lit(0.0)).alias("known"),
         F.coalesce("first.confirmed", F.lit(False)).alias("confirmed"),
         F.expr("array_sort(array_distinct(transform(licensed, s -> s.family)))").alias("families"),
         "licensed",
@@ -285,10 +330,18 @@ def license_scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", t
 def learn_from(docs: DataFrame, limit: int = SAMPLE) -> LicenseModel:
     """The model, with ordinary paragraphs of at most `limit` documents: one of each, that with the smallest hash.
 
-    The bound concerns learning only. Paragraphs that speak of licences themselves are no examples of ordinary text.
+    The bound is the sample's size and concerns learning only. A paragraph is read whole, but what reaches the driver of
+    it are the n-grams that it shares with templates and FILLER words. Paragraphs that speak of licences themselves are no
+    examples of ordinary text; copies of one paragraph count once.
     """
     ids = docs.filter("text is not null and doc_id is not null").select(F.col("doc_id").alias("id")).orderBy(F.xxhash64("id")).limit(limit)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("id"), "left_semi")  # limit ids
-    lines = chosen.select("doc_id", F.expr(f"transform(split(text, '\\n'), l -> struct(xxhash64(l) as h, substr(l, 1, {SAMPLE_CHARS}) as line))").alias("lines"))
-    rows = lines.select("doc_id", F.expr("array_min(filter(lines, l -> not rlike(l.line, '(?i)licen[cs]|copyright|spdx|all rights'))).line").alias("line"))
-    return learn(sorted({r["line"] for r in rows.collect() if r["line"]})[:limit])
+    plain = "filter(split(text, '\\n'), l -> length(trim(l)) > 0 and not rlike(l, '(?i)licen[cs]|copyright|spdx|all rights'))"
+    line = chosen.select("doc_id", F.expr(f"array_min(transform({plain}, l -> struct(xxhash64(l) as h, l as line)))").alias("first")).filter("first is not null")
+    words = line.select(F.col("first.h").alias("h"), F.expr(_words_sql("first.line")).alias("words"))
+    held = sorted({g for sentences in TEMPLATES.values() for s in sentences for g in grams(s)})
+    start = f"1 + pmod(h, greatest(1, size(words) - {FILLER} + 1))"
+    found = words.select("h", F.expr(f"array_intersect({_grams_sql('words')}, {_sql_texts(held)})").alias("grams"), F.expr(f"slice(words, cast({start} as int), {FILLER})").alias("filler"))
+    rows = {r["h"]: r for r in found.orderBy("h").limit(limit).collect()}
+    ordinary = [rows[h] for h in sorted(rows)]
+    return learn([r["grams"] for r in ordinary], [w for r in ordinary[:500] for w in r["filler"]][:2000])

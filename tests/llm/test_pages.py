@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from layerloom.llm import html_text as ht
@@ -166,12 +167,42 @@ def test_license_families(model):
         for s in sentences:
             found = model.classify(s)
             assert found == family or (found in ls.TEMPLATES and s in ls.TEMPLATES[found]), s
-    for s in ("This is released under the Foo Public Licence.", "Licensed under the Beerware license"):
-        assert model.classify(s) in ("unknown", "none")
+    for s in ("This is released under the Foo Public Licence.", "Licensed under the Beerware license", "Distributed under the Boost Software License, Version 1.0."):
+        assert model.classify(s) == "unknown"
     for s in ("", "He was in the house.", "MIT", *ls.ORDINARY[:3]):
         assert model.classify(s) == "none"
 
 
+def test_unknown_class_is_calibrated_on_families_left_out():
+    """Families that a model has never seen are mostly unknown to it, reworded sentences of those that it has seen aren't."""
+    r = np.random.default_rng(9)
+    names, filler = sorted(ls.TEMPLATES), "one of many ordinary words that stand around here".split()
+    right = wrong = seen = 0
+    for fold in range(4):
+        part = {n: ls.TEMPLATES[n] for n in names if n not in names[fold::4]}
+        other = ls.learn([], filler, part)
+        wrong += sum(other.classify(s) not in ("unknown", "none") for n in names[fold::4] for s in ls.TEMPLATES[n])
+        for n in part:
+            for s in part[n]:
+                right += other.classify(ls._reworded(s, r, filler)) == n
+                seen += 1
+    assert wrong <= 0.3 * sum(map(len, ls.TEMPLATES.values())) and right >= 0.8 * seen
+
+
+def test_what_is_learned_depends_on_neither_size_nor_copies(spark, model):
+    documents = spark.read.parquet(f"{DATA}/documents.parquet")
+    copies = documents.limit(1).selectExpr("explode(sequence(900000001, 900000500)) as doc_id", "text")
+    few = ls.learn_from(documents.select("doc_id", "text").limit(300).unionAll(copies))
+    assert len(set(few.vocabulary) ^ set(model.vocabulary)) < 0.1 * len(model.vocabulary)
+    lines = [s for ss in ls.TEMPLATES.values() for s in ss] + list(ls.ORDINARY)
+    assert [few.classify(s) for s in lines] == [model.classify(s) for s in lines]
+
+
+def test_long_lines_are_learned_from_whole(docs):
+    line = "plain words " * 50_000 + "under the terms of things"
+    assert "under the" not in ls.learn_from(docs([(i, f"{i} {line}") for i in range(12)])).vocabulary
+
+
 def test_license_scan_finds_planted_lines(spark, model):
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
     out = {r["doc_id"]: r for r in ls.license_scan(documents, model).collect()}
@@ -193,6 +224,7 @@ def test_license_columns_equal_the_model(docs, model, odd_rows):
     for k, line in enumerate(lines):
         r, label = by_id[100 + k], model.classify(line)
         assert r["license"] == label and r["n_licensed"] == (label != "none")
+        assert r["known"] == pytest.approx(model.known(line) if label != "none" else 0.0, abs=1e-4)
         assert r["score"] == pytest.approx(1 - model.probabilities(line)[-1] if label != "none" else 0.0, abs=1e-4)
     whole = by_id[200]
     assert whole["families"] == sorted({model.classify(x) for x in lines} - {"none"}) and whole["n_paragraphs"] == len(lines) + 1
