@@ -7,8 +7,9 @@ of tokens is compatible if merging would never join them: no merge of a token on
 on the left edge of the second comes before the merges that hide these edges. A sequence whose neighbours are all
 compatible is the one that merging by rank gives, so the result is exact; positions from which nothing could follow
 are marked and never tried again, and the automaton only ever sees as many bytes as the longest token has, so the time
-is linear in a pre-token's length too. Pre-tokens repeat, so a bounded table keeps their tokens. A long text is cut into
-pre-tokens a part at a time, at places where one surely starts.
+is linear in a pre-token's length too. A pre-token surely starts where white space does, so a text is first cut there,
+mostly at single spaces; such pieces and pre-tokens repeat, so bounded tables keep their tokens. A long text is cut a part
+at a time.
 
 Decoding looks up each id's bytes in one array by an offset table; bytes that are no UTF-8 become U+FFFD.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,8 +38,12 @@ from layerloom.llm._stats import slices
 
 #: Byte-level pre-tokens: contractions, words, numbers and signs with a space before, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens whose tokens are kept, and their length at most.
-KEPT, KEPT_LENGTH = 300_000, 64
+#: White space, as the pattern's; runs of more than one are kept with the word that follows.
+RUNS = re.compile("([ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,})")
+#: Signs that often end a word.
+MARKS = frozenset(".,;:!?)")
+#: Pre-tokens, and pieces, whose tokens are kept, and their length at most.
+KEPT, KEPT_LENGTH = 200_000, 64
 PAIRS = 1_000_000
 #: Characters whose pre-tokens are held at a time, about.
 PART = 1 << 20
@@ -76,8 +82,46 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(everything), np.uint8)
 
 
-class Encoder(dict):
-    """An encoder, and the table of pre-tokens that it has met with their tokens as 32-bit integers."""
+class Kept(dict):
+    """A bounded table of tokens, as 32-bit integers, by text: when it is full, what was not met since it was last full goes."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def make(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.make(text)
+        if len(text) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.old = self.copy()
+                self.clear()
+            self[text] = ids
+        return ids
+
+
+class Pieces(Kept):
+    """The tokens of pieces of text that start with white space or at the start of a text; before: what stands before each."""
+
+    def __init__(self, encoder: Encoder, before: str = ""):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def make(self, text: str) -> bytes:
+        encoder = self.encoder
+        if text.isalpha():  # one pre-token
+            return encoder.make(self.before + text)
+        if text[-1:] in MARKS and text[:-1].isalpha():  # two
+            return self[text[:-1]] + encoder[text[-1]]
+        return b"".join(map(encoder.__getitem__, encoder.find(self.before + text)))
+
+
+class Encoder(Kept):
+    """An encoder, and the table of pre-tokens that it has met."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -94,6 +138,7 @@ class Encoder(dict):
         self.pairs: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        self.pieces, self.spaced = Pieces(self), Pieces(self, " ")
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens on one edge (0: left, 1: right) of a token, from whole to byte, with the rank of the merge that hides each."""
@@ -158,13 +203,8 @@ class Encoder(dict):
                 token = out.pop()
                 at -= size[token]
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.word(piece.encode())).tobytes()
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def make(self, text: str) -> bytes:
+        return array("I", self.word(text.encode())).tobytes()
 
     def _plain(self, text: str) -> bytes:
         if len(text) <= 2 * PART:
@@ -178,7 +218,13 @@ class Encoder(dict):
         return b"".join(out)
 
     def _known(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text)))
+        spaced, out = self.spaced.__getitem__, []
+        parts = RUNS.split(text)
+        for k in range(0, len(parts), 2):
+            first, *others = parts[k].split(" ")
+            out.append(self.pieces[parts[k - 1] + first if k else first])
+            out += map(spaced, others)
+        return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         if self.cut is None or not self.cut.search(text):

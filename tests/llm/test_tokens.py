@@ -34,7 +34,7 @@ def test_encoding_equals_the_library(own, library):
     for text in odd_texts():
         expected = library.encode(text, add_special_tokens=False).ids
         ids = own.encode(text)
-        assert ids.tolist() == expected, text
+        assert ids.tolist() == expected and packing.library_encoder(PATH).encode(text).tolist() == expected, text
         assert own.decode_bytes(ids).decode("utf-8", "replace") == library.decode(expected, skip_special_tokens=False)
 
 
@@ -44,7 +44,7 @@ def test_all_code_points_are_cut_alike(own, library):
         if chars:
             text = "|".join(f"a{c}b {c}1{c}{c} {c}" for c in chars)
             expected = library.encode(text, add_special_tokens=False).ids
-            assert own.encode(text).tolist() == expected
+            assert own.encode(text).tolist() == expected and packing.library_encoder(PATH).encode(text).tolist() == expected
 
 
 def test_long_runs_are_linear(own, library):
@@ -176,3 +176,10 @@ def test_packing_of_odd_rows(docs, odd_rows, library):
     assert packing.best_fit_packing(docs([]), PATH).count() == 0
     grouped = packing.best_fit_packing(docs(odd_rows), PATH, size=size, group=4)
     assert grouped.count() == len(out) and grouped.select("sequence_id").distinct().count() >= len(sequences)
+
+
+def test_white_space_is_the_patterns():
+    import regex
+
+    space = regex.compile(r"\s").fullmatch
+    assert all(bool(space(chr(c))) == bool(bpe.RUNS.fullmatch(chr(c) * 2)) for c in range(0x110000))
