@@ -43,7 +43,7 @@ RUNS = re.compile("([ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 #: Signs that often end a word.
 MARKS = frozenset(".,;:!?)")
 #: Pre-tokens, and pieces, whose tokens are kept, and their length at most.
-KEPT, KEPT_LENGTH = 200_000, 64
+KEPT, KEPT_LENGTH = 300_000, 64
 PAIRS = 1_000_000
 #: Characters whose pre-tokens are held at a time, about.
 PART = 1 << 20
@@ -139,6 +139,7 @@ class Encoder(Kept):
         self.shorter: dict[int, int] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.pieces, self.spaced = Pieces(self), Pieces(self, " ")
+        self.end = array("I", [vocabulary.ids[b"\n"]]).tobytes()
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens on one edge (0: left, 1: right) of a token, from whole to byte, with the rank of the merge that hides each."""
@@ -218,12 +219,18 @@ class Encoder(Kept):
         return b"".join(out)
 
     def _known(self, text: str) -> bytes:
-        spaced, out = self.spaced.__getitem__, []
+        """The tokens of a text: its white space stands alone within a part, so that each word takes the space before it."""
+        pieces, spaced, out = self.pieces, self.spaced.__getitem__, []
         parts = RUNS.split(text)
         for k in range(0, len(parts), 2):
-            first, *others = parts[k].split(" ")
-            out.append(self.pieces[parts[k - 1] + first if k else first])
-            out += map(spaced, others)
+            before = parts[k - 1] if k else ""
+            for line in parts[k].split("\n"):
+                first, *others = line.split(" ")
+                out.append(pieces[before + first])
+                out += map(spaced, others)
+                out.append(self.end)
+                before = ""
+            out.pop()
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
