@@ -48,7 +48,7 @@ def float_text(x: Column) -> Column:
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-n - 1, F.lit(0))), digits)
     exponent = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.when(n < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(n).cast("string"), F.greatest(F.length(F.abs(n).cast("string")), F.lit(2)), "0"))
     plain = (
-        F.when(power == "", text)
+        F.when(~F.contains(text, F.lit("E")), text)  # most: no pattern is tried
         .when((n >= 0) & (n < 16), F.when(F.length(digits) <= n + 1, whole).otherwise(parted))
         .when((n < 0) & (n >= -4), small)
         .otherwise(exponent)
@@ -65,6 +65,15 @@ def _to_string(x: Column, source: str) -> Column:
     return x.cast("string")
 
 
+def _rounded(bare: Column) -> Column:
+    """A decimal string as an integer, rounded once: its first decimal digit tells, whatever follows."""
+    digits = F.concat(F.lit("0"), F.regexp_extract(bare, r"^[+-]?(\d*)", 1)).cast("decimal(38,0)")
+    up = F.when(F.regexp_extract(bare, r"\.(\d)", 1) >= "5", F.lit(1)).otherwise(F.lit(0))
+    sign = F.when(F.startswith(bare, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
+    powered = F.contains(F.upper(bare), F.lit("E"))
+    return F.when(powered, F.round(F.when(powered, bare).cast("decimal(38,18)"), 0).cast("bigint")).otherwise(((digits + up) * sign).cast("bigint"))
+
+
 def _from_string(x: Column, target: str, fmt: str | None) -> Column:
     if fmt is not None:
         pattern = spark_pattern(fmt)
@@ -72,10 +81,9 @@ def _from_string(x: Column, target: str, fmt: str | None) -> Column:
     if target == STRING:
         return x
     bare = F.replace(F.trim(x), F.lit("_"), F.lit(""))
-    number = bare.cast("decimal(38,18)")
     if target == INTEGER:
         return F.when(x.rlike(_INTEGER), F.when(x.rlike(_INTEGER), bare).cast("bigint")).otherwise(
-            _strictly(x, x.rlike(_DECIMAL), F.round(F.when(x.rlike(_DECIMAL), number), 0).cast("bigint"), target)
+            _strictly(x, x.rlike(_DECIMAL), _rounded(F.when(x.rlike(_DECIMAL), bare)), target)
         )
     if target == FLOAT:
         fits = x.rlike(_DECIMAL) | x.rlike(_SPECIAL)

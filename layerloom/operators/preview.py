@@ -27,7 +27,7 @@ def preview(df: DataFrame, grain: tuple[str, ...], rows: int = ROWS) -> list[lis
 
 def checksum(df: DataFrame) -> tuple[int, str]:
     """The number of rows and a sum over their hashes: equal for equal bags of rows in any order, repeats included."""
-    columns = [F.coalesce(name(c).cast("string"), F.lit("\0null")) for c in df.columns]
+    columns = [x for c in df.columns for x in (F.coalesce(name(c).cast("string"), F.lit("")), name(c).isNull())]
     digest = F.xxhash64(*columns) if columns else F.lit(0)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(digest.cast("decimal(38,0)")).alias("sum")).first()
     return row["n"], str(row["sum"] or 0)

@@ -404,7 +404,7 @@ _register("preview_topk", lambda spark, d: top(source(spark, d, "orders")[0].sel
 # Sources: a verified scan, a row count, and generators, whose random kinds are held against what they must keep.
 
 _DOCUMENTS: Schema = {"doc_id": INTEGER, "text": STRING, "lang": STRING, "source": STRING, "n_chars": INTEGER}
-_register("io_parquet_scan", lambda spark, d: parquet.read(spark, f"{d}/documents.parquet", _DOCUMENTS).select("doc_id", "lang", "n_chars"), "SELECT doc_id, lang, n_chars FROM documents")
+_register("io_parquet_scan", lambda spark, d: parquet.read(spark, f"{d}/documents.parquet", _DOCUMENTS), "SELECT doc_id, text, lang, source, n_chars FROM documents")
 _register("io_row_count", lambda spark, d: source(spark, d, "lineitem")[0].agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM lineitem")
 _register("io_checksum", lambda spark, d: spark.createDataFrame([(*checksum(source(spark, d, "orders")[0]), *checksum(source(spark, d, "orders")[0].repartition(5)))], "n bigint, a string, m bigint, b string").selectExpr("n", "n = m and a = b as same"), "SELECT count(*) AS n, true AS same FROM orders")
 

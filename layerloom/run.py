@@ -121,7 +121,7 @@ def build(spark: SparkSession, plan: ResolvedPlan, seed: int, path: str, progres
         schema, at = plan.schemas[name], f"{path}/{layer}/{name}"
         with progress.at("write" if layer == "raw" else "build"):
             try:
-                parquet.write(df, at, schema, known)
+                parquet.write(df, at, schema)
             except StageError:
                 raise
             except Exception as e:  # Spark's own errors: a cast, an overflow, an unmapped value
@@ -194,10 +194,10 @@ def prepare(spark: SparkSession, plan: ResolvedPlan, seed: int, root: str, progr
         record = build(spark, plan, seed, work, progress)
         if store.exists(final) and verified(store, final, wanted) is None:
             store.delete(final)
-        store.rename(work, final)  # another build may have come first; its rows are the same
+        placed = store.rename(work, final)  # another build may have come first; its rows are the same
     finally:
         store.delete(work)
-    return Instance(final, verified(store, final, wanted) or record)
+    return Instance(final, record if placed else verified(store, final, wanted) or record)
 
 
 def prepare_json(spark: SparkSession, source: bytes | str, seed: int, root: str) -> Instance:

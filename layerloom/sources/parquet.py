@@ -8,12 +8,12 @@ from layerloom.errors import StageError
 from layerloom.functions.expressions import name
 from layerloom.types import Schema, same_shape, struct_of
 
-#: Rows of a table that go to one file, about.
+#: Rows of a table that go to one file, at most.
 FILE_ROWS = 5_000_000
 
 
-def write(df: DataFrame, path: str, schema: Schema, rows: int | None = None) -> None:
-    """Replaces the table at path. rows, if known, bounds the number of files."""
+def write(df: DataFrame, path: str, schema: Schema) -> None:
+    """Replaces the table at path. Each task writes what it has made: no work is drawn together for fewer files."""
     if extra := sorted(set(df.columns) - set(schema)):
         raise StageError("write", f"columns that aren't declared: {', '.join(extra)}")
     if missing := sorted(set(schema) - set(df.columns)):
@@ -21,9 +21,7 @@ def write(df: DataFrame, path: str, schema: Schema, rows: int | None = None) ->
     out = df.select(*map(name, schema))
     if not same_shape(out.schema, schema):
         raise StageError("write", f"types are {out.schema.simpleString()}, declared {struct_of(schema).simpleString()}")
-    if rows is not None:
-        out = out.coalesce(max(1, -(-rows // FILE_ROWS)))
-    out.write.mode("overwrite").option("compression", "snappy").parquet(path)
+    out.write.mode("overwrite").option("compression", "snappy").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
 
 def read(spark: SparkSession, path: str, schema: Schema, rows: int | None = None) -> DataFrame:

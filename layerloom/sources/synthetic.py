@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from graphlib import TopologicalSorter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerloom.errors import StageError
@@ -26,29 +26,31 @@ from layerloom.types import SPARK_TYPES
 ROW = "_row"
 #: Rows that are numbered in one task when keys with gaps are numbered densely.
 SPAN = 1_000_000
+#: Rows that one task makes, and tasks of a table up to which that holds; beyond, each makes more.
+TASK_ROWS, TASKS = 125_000, 20_000
+
+
+def _rows(spark: SparkSession, n: int) -> DataFrame:
+    tasks = -(-n // TASK_ROWS)
+    return spark.range(0, n, 1, max(1, min(tasks, TASKS + n // (TASK_ROWS * 100)))).select(F.col("id").alias(ROW))
 
 
 def _numbered(universe: DataFrame, at: str) -> DataFrame:
     """`_index`: 0, 1, ... in the order of `at`. Spans of rows are counted first, so no task sorts more than one."""
     spans = universe.withColumn("_span", F.floor(F.col(at) / SPAN))
-    counts = {r["_span"]: r["n"] for r in spans.groupBy("_span").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number for SPAN rows
-    before, total = {}, 0
-    for span in sorted(counts):
-        before[span], total = total, total + counts[span]
-    if not before:
-        return universe.withColumn("_index", F.lit(0).cast("bigint"))
-    from pyspark.sql import Window
-
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_span"))
+    counts = spans.groupBy("_span").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # one row for SPAN rows
+    offsets = counts.select("_span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_span").orderBy(at)) - 1
-    return spans.withColumn("_index", (offset + rank).cast("bigint")).drop("_span")
+    ranked = spans.withColumn("_rank", rank).join(offsets, "_span")
+    return ranked.withColumn("_index", (F.col("_before") + F.col("_rank")).cast("bigint")).drop("_span", "_rank", "_before")
 
 
 class _Builder:
     def __init__(self, spark: SparkSession, plan: ResolvedPlan, seed: int):
         self.plan, self.seed = plan, seed
         self.counts = row_counts(plan, seed)
-        self.frames = {t: spark.range(n).select(F.col("id").alias(ROW)) for t, n in self.counts.items()}
+        self.frames = {t: _rows(spark, n) for t, n in self.counts.items()}
         self.universes: dict[tuple[str, tuple[str, ...]], tuple[DataFrame | None, int]] = {}
 
     def key(self, *parts: str) -> int:
@@ -83,7 +85,8 @@ class _Builder:
         label = "+".join(link.child_columns)
         wanted = index if exact else self.masked(index, table, own, label)
         keyed = universe.select(F.col("_index").alias("_parent"), *[name(p).alias(c) for c, p in zip(link.child_columns, link.parent_columns, strict=True)])
-        rows = self.frames[link.child].withColumn("_wanted", wanted if n else F.lit(None).cast("bigint"))
+        nobody = -1 - F.col(ROW)  # a null key would meet all others in one partition; these meet none
+        rows = self.frames[link.child].withColumn("_wanted", F.coalesce(wanted, nobody) if n else nobody)
         self.frames[link.child] = rows.join(keyed, F.col("_wanted") == F.col("_parent"), "left").drop("_wanted", "_parent")
 
     def add(self, table: m.RawTable, unit: tuple[str, ...], key_index: dict[tuple[str, ...], Column]) -> None:

@@ -135,6 +135,8 @@ def test_previews(spark):
     assert preview(df, ("a",)) == [["a", "b"], ["1", "b"], ["2", "c"], ["3", "x" * 39 + "…"], ["4", "d"], ["5", "e"]]
     assert cell(None) == "NULL" and cell(True) == "true"
     assert checksum(df) == checksum(df.repartition(3)) != checksum(df.unionAll(df))
+    odd = df.sparkSession.createDataFrame([(None,)], "a string"), df.sparkSession.createDataFrame([("\0null",)], "a string"), df.sparkSession.createDataFrame([("",)], "a string")
+    assert len({checksum(x) for x in odd}) == 3
     assert checksum(df.unionAll(df)) != checksum(df.unionAll(df).unionAll(df).unionAll(df))
     assert checks.check_name("a" * 64) == "a" * 64 and len(checks.check_name("a" * 65)) == 64
 

@@ -202,7 +202,7 @@ def test_parquet_round_trip_and_refusals(spark, tmp_path):
     spec = "a bigint, b string, c double, d boolean, e date, f timestamp"
     rows = [(1, "ä'\n", 0.1, True, dt.date(2024, 2, 29), dt.datetime(2024, 1, 1, 1, 2, 3, 4)), (None,) * 6]
     df, path = spark.createDataFrame(rows, spec), str(tmp_path / "t")
-    parquet.write(df, path, SCHEMA, 2)
+    parquet.write(df, path, SCHEMA)
     assert sorted(map(tuple, parquet.read(spark, path, SCHEMA, 2).collect()), key=repr) == sorted(rows, key=repr)
     for wrong in (df.drop("a"), df.withColumn("z", F.lit(1)), df.withColumn("a", F.lit("x"))):
         with pytest.raises(StageError):
