@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one task holds at a time.
 BLOCK_BYTES = 4 << 20
+#: Bytes of a partition below which partitions are joined before they are kept.
+TASK_BYTES = 8 << 20
 #: Bytes of rows that go to or come from Python at a time.
 BATCH_BYTES = 4 << 20
 #: Bytes of a partition, as measured, up to which a hash table of it is built.
 HASH_BYTES = "16m"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, size: int | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
     """df, computed and kept in the shared checkpoint folder: a lost executor costs no recomputation, lineage ends here.
 
+    size: the bytes that df has, about. Where the session's partitions are smaller than task_bytes they are joined, for
+    fewer files; larger ones stay, so no task grows with the data.
+
     The folder is the one spark.checkpoint.dir names; only a local session without it gets a temporary one, which goes
     with the process.
     """
@@ -35,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="layerloom-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return (df if size is None else df.coalesce(max(1, -(-size // task_bytes)))).checkpoint(eager=True)
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -26,12 +26,15 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     return moved.filter("u > v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for each node of links (a, b): the smallest node that can be reached. Loops and nulls are ignored."""
+def components(links: DataFrame, size: int | None = None) -> DataFrame:
+    """(node, component) for each node of links (a, b): the smallest node that can be reached. Loops and nulls are ignored.
+
+    size: a bound on the bytes of the links between different nodes, if known, for fewer files.
+    """
     now = links.select(F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")).filter("u > v").distinct()
-    now, before = cut(now), None
+    now, before = cut(now, size), None
     for _ in range(MOST_ROUNDS):
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(_star(now, True), False), size)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerloom.llm._spark import batched, cut, hash_joins
+from layerloom.llm._spark import TASK_BYTES, batched, cut, hash_joins
 from layerloom.llm._words import U, buffers, mix, window_hashes, word_hashes, word_spans
 from layerloom.llm.components import components
 
@@ -52,6 +52,8 @@ SAMPLES = BANDS * ROWS
 BITS = 512
 #: Members of a part of a bucket; members and shingles of a part of a cluster. A cell holds two parts.
 SKETCHES, PART, PART_SHINGLES = 4096, 512, 300_000
+#: Bytes of text for each shingle, about; only deals out work.
+BYTES_A_WORD = 7
 #: Shingles that are compared in one go.
 COLUMNS = 8192
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U))
@@ -229,30 +231,30 @@ def _xor_bits(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _representatives(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _representatives(feats: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(set_key, rep): the smallest id of each distinct set; and (rep, text_key, bands, sketch, n) of one text of that id and set."""
     usable = feats.filter("id is not null and set_key is not null")
     classes = usable.groupBy("set_key").agg(F.min("id").alias("rep"))
     own = usable.join(classes.withColumnRenamed("set_key", "class_key"), (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("class_key")))
     one = own.groupBy("rep").agg(F.min_by(F.struct("text_key", "bands", "sketch", F.col("n_shingles").alias("n")), "text_key").alias("one"))
-    return classes, cut(one.select("rep", "one.*"))
+    return classes, cut(one.select("rep", "one.*"), n * (BANDS * 8 + BITS // 8 + 64))
 
 
-def _bucket_members(reps: DataFrame) -> DataFrame:
+def _bucket_members(reps: DataFrame, n: int) -> DataFrame:
     """(key, rep, lead, other): the members of each bucket of several, with two leaders of it."""
     spread = reps.select("rep", F.explode("bands").alias("key"))
     leaders = spread.groupBy("key").agg(F.min("rep").alias("lead"), F.max_by("rep", F.xxhash64("rep")).alias("other"), F.count("*").alias("size"))
-    return cut(spread.join(leaders.filter("size > 1").drop("size"), "key"))
+    return cut(spread.join(leaders.filter("size > 1").drop("size"), "key"), n * BANDS * 24)
 
 
-def _texts(rows: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, members: DataFrame, reps: DataFrame, n_bytes: int) -> DataFrame:
     """(id, text) of the representatives that share a bucket: the text that bands and sketch were made of."""
     needed = reps.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "text_key")
     found = rows.filter("id is not null and text is not null").join(needed, ["id", "text_key"], "left_semi")
-    return cut(found.groupBy("id", "text_key").agg(F.first("text").alias("text")).drop("text_key"))
+    return cut(found.groupBy("id", "text_key").agg(F.first("text").alias("text")).drop("text_key"), n_bytes)
 
 
-def _links_to_leaders(members: DataFrame, reps: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+def _links_to_leaders(members: DataFrame, reps: DataFrame, texts: DataFrame, n_bytes: int, ngram: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between members and their buckets' leaders: no more candidates than members."""
     sketches = reps.select("rep", "sketch")
     pairs = members.select("rep", F.explode(F.array("lead", "other")).alias("to")).filter("rep <> to")
@@ -260,7 +262,7 @@ def _links_to_leaders(members: DataFrame, reps: DataFrame, texts: DataFrame, ngr
     pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
     pairs = pairs.filter(_xor_bits("sketch_a", "sketch_b") <= most_different_bits(percent)).select("a", "b")
     full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return cut(batched(full, _confirm(ngram, percent), "a bigint, b bigint"))
+    return cut(batched(full, _confirm(ngram, percent), "a bigint, b bigint"), n_bytes, TASK_BYTES // 2)  # of the texts that are read
 
 
 def _labelled(ids: DataFrame, comps: DataFrame) -> DataFrame:
@@ -269,7 +271,7 @@ def _labelled(ids: DataFrame, comps: DataFrame) -> DataFrame:
     return found.withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
-def _candidates(members: DataFrame, reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def _candidates(members: DataFrame, reps: DataFrame, comps: DataFrame, n: int, percent: int) -> DataFrame:
     """A forest (a, b) of likely links across components, from the buckets that aren't connected yet; of equal buckets one is looked at."""
     labelled = _labelled(members.select("key", F.col("rep").alias("id")), comps)
     same = F.struct(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("a"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("b"))
@@ -280,12 +282,12 @@ def _candidates(members: DataFrame, reps: DataFrame, comps: DataFrame, percent:
     packed = reps.select(F.col("rep").alias("id"), F.concat(*[word(i) for i in range(1, BITS // 64 + 1)]).alias("packed"))
     cells = _grid(left, "key", F.ceil(F.col("size") / SKETCHES)).join(packed, "id")
     found = cells.groupBy("key", "x", "y").applyInArrow(_cross(most_different_bits(percent)), "a bigint, b bigint")
-    return cut(found.distinct())
+    return cut(found.distinct(), n * 16)
 
 
-def _links_in_clusters(candidates: DataFrame, reps: DataFrame, texts: DataFrame, comps: DataFrame, ngram: int, percent: int) -> DataFrame:
+def _links_in_clusters(candidates: DataFrame, reps: DataFrame, texts: DataFrame, comps: DataFrame, n: int, ngram: int, percent: int) -> DataFrame:
     """A forest (a, b) of confirmed links across components, from comparing all members of each cluster."""
-    members = _labelled(components(candidates).toDF("id", "cluster"), comps).join(reps.select(F.col("rep").alias("id"), "n"), "id")
+    members = _labelled(components(candidates, n * 16).toDF("id", "cluster"), comps).join(reps.select(F.col("rep").alias("id"), "n"), "id")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("size") / PART), F.ceil(F.col("shingles") / PART_SHINGLES))
     cells = _grid(members.join(sizes, "cluster"), "cluster", parts).join(texts, "id")
@@ -301,14 +303,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     with hash_joins(docs.sparkSession):
         feats = cut(batched(rows, _features(ngram), FEATURES))
-        classes, reps = _representatives(feats)
-        members = _bucket_members(reps)
-        texts = _texts(rows, members, reps)
-        links = _links_to_leaders(members, reps, texts, ngram, percent)
-        comps = components(links)
-        candidates = _candidates(members, reps, comps, percent)
+        n, n_shingles = feats.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+        n_bytes = n_shingles * BYTES_A_WORD
+        classes, reps = _representatives(feats, n)
+        members = _bucket_members(reps, n)
+        texts = _texts(rows, members, reps, n_bytes)
+        links = _links_to_leaders(members, reps, texts, n_bytes, ngram, percent)
+        comps = components(links, n * 16)
+        candidates = _candidates(members, reps, comps, n, percent)
         if not candidates.isEmpty():
-            comps = components(links.unionAll(_links_in_clusters(candidates, reps, texts, comps, ngram, percent)))
+            comps = components(links.unionAll(_links_in_clusters(candidates, reps, texts, comps, n, ngram, percent)), n * 16)
 
     in_class = _labelled(classes.withColumnRenamed("rep", "id"), comps).select("set_key", F.col("comp").alias("component_id"))
     alone = "id is null or set_key is null"  # never joined: all of them would meet in one partition
