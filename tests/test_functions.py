@@ -37,7 +37,7 @@ def both(spark, duck, kind, value, source, target, sql_kind):
     return mine, theirs
 
 
-TEXTS = ["2.5", "3.5", "-2.5", "2.4999", " 5 ", "1e3", "+5", ".5", "5.", "1_000", "abc", "", "1__0", "_10", "1.5f", "1.5d", "1e-1", "9223372036854775807", "9223372036854775808", "nan", "inf", "-Infinity", "1e400"]
+TEXTS = ["2.5", "3.5", "-2.5", "2.4999", " 5 ", "1e3", "+5", ".5", "5.", "1_000", "abc", "", "1__0", "_10", "1.5f", "1.5d", "1e-1", "9223372036854775807", "9223372036854775808", "nan", "inf", "-Infinity", "1e400", "0.4999999999999999999", "-0.4999999999999999999", "0.5000000000000000001", "-.5", "9223372036854775806.5", "00012.50", "+.49"]
 TEXTS += [" true ", "true", "T", "on", "no", "Y", "1", "0", "2024-01-05", "2024/1/5", "2024", "2024-01", "2024-1-5", " 2024-01-05 ", "2024-01-05 10:00:00", "2024-02-30"]
 
 
