@@ -10,8 +10,9 @@ the whole row. Windows are counted in two rounds of Spark groups, each over rang
 
 A block then marks these windows and those that repeat inside it, merges them into maximal intervals of words and removes
 these. What a block sends is sorted, so it travels as differences, four to sixteen bytes a window; a row of Spark's
-own for each window would take two to three times the disk. The number of blocks and ranges grows with the input; the number of partitions
-is the session's (spark.sql.shuffle.partitions, fewer where adaptive execution joins small ones).
+own for each window would take two to three times the disk. The numbers of blocks, ranges and partitions grow with the input, so
+a task reads about BLOCKS blocks however large the input is; beyond PARTITIONS partitions (about 0.16 TB of text) tasks grow instead, as
+more would burden the driver. At tens of TB ranges outnumber the windows of a block, and a record holds few of them.
 
 Windows of different blocks count as equal if 128 bits of hashes are, windows of one block (some MB) if 64 are.
 
@@ -41,6 +42,8 @@ WINDOW = 13
 PREFIX = 48
 #: Hashes of a range that one task sorts at a time, about, and bytes of text that make one window.
 RANGE, BYTES_A_WINDOW = 2 << 20, 6
+#: Blocks of a partition, and partitions of a shuffle at most.
+BLOCKS, PARTITIONS = 2, 20_000
 _PACKED = pa.schema([("blk", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
 
 
@@ -241,14 +244,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("window must be at least 1")
     size = 0 if n_blocks and n_ranges else text_bytes(docs, text_col)
     n, ranges = n_blocks or max(1, -(-size // BLOCK_BYTES)), n_ranges or max(1, -(-size // (RANGE * BYTES_A_WINDOW)))
+    parts = min(PARTITIONS, -(-n // BLOCKS))
     row = packed_row(docs, carry) if carry else F.lit(None).cast("int").alias("row")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), row)
     told_apart = [F.col(f"row.`{f.name}`") for f in rows.schema["row"].dataType.fields if isinstance(f.dataType, AtomicType)] if carry else []
-    dealt = rows.filter("id is not null").withColumn("blk", F.pmod(F.xxhash64("id", "text", *told_apart), F.lit(n))).repartition("blk")
+    dealt = rows.filter("id is not null").withColumn("blk", F.pmod(F.xxhash64("id", "text", *told_apart), F.lit(n))).repartition(parts, "blk")
     sent, answer = "bucket long, blk long, n long, packed binary", "blk long, n long, packed binary"
-    shared = dealt.groupBy("blk").applyInArrow(_prefixes(window, ranges), sent).groupBy("bucket").applyInArrow(_shared, answer)
-    suspects = dealt.groupBy("blk").cogroup(shared.groupBy("blk")).applyInArrow(_suspects(window, ranges), sent)
-    heard = suspects.groupBy("bucket").applyInArrow(_late, answer)
+    prefixes = dealt.groupBy("blk").applyInArrow(_prefixes(window, ranges), sent).repartition(parts, "bucket")
+    shared = prefixes.groupBy("bucket").applyInArrow(_shared, answer).repartition(parts, "blk")
+    suspects = dealt.groupBy("blk").cogroup(shared.groupBy("blk")).applyInArrow(_suspects(window, ranges), sent).repartition(parts, "bucket")
+    heard = suspects.groupBy("bucket").applyInArrow(_late, answer).repartition(parts, "blk")
     kind = dealt.schema["row"].dataType.simpleString()
     schema = f"id bigint, row {kind}, {'text string, ' * bool(carry)}n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>"
     out = dealt.groupBy("blk").cogroup(heard.groupBy("blk")).applyInArrow(_remove(window, bool(carry)), schema)
