@@ -5,6 +5,8 @@ Every query compiles a specification object (as JSON would declare it) with the
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -13,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from layerloom.barrier import shared_folder
 from layerloom.cli import load
 from layerloom.functions.expressions import condition, name
 from layerloom.operators import checks, models
 from layerloom.operators.preview import checksum, top
 from layerloom.plans import resolve
+from layerloom.run import prepare
 from layerloom.sources import parquet, values
+from layerloom.sources.counts import row_counts
 from layerloom.sources.synthetic import synthesise
 from layerloom.spec import document
 from layerloom.spec import model as m
@@ -409,8 +414,13 @@ _register("io_row_count", lambda spark, d: source(spark, d, "lineitem")[0].agg(F
 _register("io_checksum", lambda spark, d: spark.createDataFrame([(*checksum(source(spark, d, "orders")[0]), *checksum(source(spark, d, "orders")[0].repartition(5)))], "n bigint, a string, m bigint, b string").selectExpr("n", "n = m and a = b as same"), "SELECT count(*) AS n, true AS same FROM orders")
 
 
-def _generated(key: str, spec: dict, n: int, inside: Callable, sql: str | None = None, once: bool = False) -> None:
-    """n draws of a generator: themselves if SQL can tell them, else whether all are inside and how many differ."""
+def _share(condition: Any, p: float, n: int) -> Any:
+    """Whether the share of rows with the condition lies within five standard errors of p; exactly, if p is 0 or 1."""
+    return F.abs(F.avg(F.coalesce(condition, F.lit(False)).cast("double")) - p) <= 5 * (p * (1 - p) / n) ** 0.5
+
+
+def _generated(key: str, spec: dict, n: int, inside: Callable, sql: str | None = None, once: bool = False, shares: Callable | None = None) -> None:
+    """n draws of a generator: themselves if SQL can tell them, else whether all are inside, differ and have the shares they should."""
     g = m.GENERATOR.read(spec, "")
 
     def query(spark: SparkSession, d: str) -> DataFrame:
@@ -419,19 +429,20 @@ def _generated(key: str, spec: dict, n: int, inside: Callable, sql: str | None =
         if sql:
             return rows
         different = F.count_distinct("value") == n if once else F.count_distinct("value") > 1
-        return rows.agg(F.count("value").alias("n"), F.every(inside(F.col("value"))).alias("inside"), different.alias("different"))
+        fair = [_share(found, p, n) for found, p in shares(F.col("value"))] if shares else [F.lit(True)]
+        return rows.agg(F.count("value").alias("n"), F.every(inside(F.col("value"))).alias("inside"), different.alias("different"), reduce(lambda a, b: a & b, fair).alias("fair"))
 
-    _register(key, query, sql or f"SELECT CAST({n} AS BIGINT) AS n, true AS inside, true AS different")
+    _register(key, query, sql or f"SELECT CAST({n} AS BIGINT) AS n, true AS inside, true AS different, true AS fair")
 
 
 _generated("gen_formatted_id", {"kind": "formatted_id", "prefix": "ID-", "digits": 5, "start": 7}, 500, None, "SELECT i AS row, 'ID-' || lpad(CAST(i + 7 AS VARCHAR), 5, '0') AS value FROM range(500) t(i)")
-_generated("gen_integer_range", {"kind": "integer_range", "min": -5, "max": 5}, 1000, lambda x: x.between(-5, 5))
-_generated("gen_float_range", {"kind": "float_range", "min": 0.5, "max": 9.5, "decimal_places": 1}, 1000, lambda x: x.between(0.5, 9.5) & (F.round(x, 1) == x))
-_generated("gen_date_range", {"kind": "date_range", "min": "2024-02-01", "max": "2024-03-01"}, 1000, lambda x: x.between("2024-02-01", "2024-03-01"))
-_generated("gen_timestamp_range", {"kind": "timestamp_range", "min": "2024-02-01T00:00:00+00:00", "max": "2024-02-02T00:00:00+00:00"}, 1000, lambda x: F.unix_seconds(x).between(1706745600, 1706832000))
-_generated("gen_categorical", {"kind": "categorical", "values": ["a", "b", "c"], "weights": [1.0, 2.0, 0.0]}, 1000, lambda x: x.isin("a", "b"))
-_generated("gen_boolean", {"kind": "boolean", "true_probability": 0.25}, 1000, lambda x: x.isNotNull())
-_generated("gen_random_string", {"kind": "random_string", "min_length": 3, "max_length": 6}, 1000, lambda x: x.rlike("^[a-z0-9]{3,6}$"))
+_generated("gen_integer_range", {"kind": "integer_range", "min": -5, "max": 5}, 20000, lambda x: x.between(-5, 5), shares=lambda x: [(x == k, 1 / 11) for k in range(-5, 6)])
+_generated("gen_float_range", {"kind": "float_range", "min": 0.5, "max": 9.5, "decimal_places": 1}, 20000, lambda x: x.between(0.5, 9.5) & (F.round(x, 1) == x), shares=lambda x: [(x == 0.5, 1 / 91), (x < 4.95, 45 / 91), (x == 9.5, 1 / 91)])
+_generated("gen_date_range", {"kind": "date_range", "min": "2024-02-01", "max": "2024-03-01"}, 20000, lambda x: x.between("2024-02-01", "2024-03-01"), shares=lambda x: [(x == "2024-02-29", 1 / 30), (x < "2024-02-16", 15 / 30), (x == "2024-03-01", 1 / 30)])
+_generated("gen_timestamp_range", {"kind": "timestamp_range", "min": "2024-02-01T00:00:00+00:00", "max": "2024-02-02T00:00:00+00:00"}, 20000, lambda x: F.unix_seconds(x).between(1706745600, 1706832000), shares=lambda x: [(F.hour(x) == k, 1 / 24) for k in range(24)])
+_generated("gen_categorical", {"kind": "categorical", "values": ["a", "b", "c"], "weights": [1.0, 2.0, 0.0]}, 20000, lambda x: x.isin("a", "b"), shares=lambda x: [(x == "a", 1 / 3), (x == "b", 2 / 3), (x == "c", 0.0)])
+_generated("gen_boolean", {"kind": "boolean", "true_probability": 0.25}, 20000, lambda x: x.isNotNull(), shares=lambda x: [(x, 0.25), (~x, 0.75)])
+_generated("gen_random_string", {"kind": "random_string", "min_length": 3, "max_length": 6}, 20000, lambda x: x.rlike("^[a-z0-9]{3,6}$"), shares=lambda x: [(F.length(x) == k, 1 / 4) for k in range(3, 7)] + [(x.rlike("^[0-9]"), 10 / 36), (x.rlike("z$"), 1 / 36)])
 _generated("gen_unique_integer", {"kind": "integer_range", "min": 1, "max": 1000}, 1000, lambda x: x.between(1, 1000), once=True)
 _generated("gen_unique_string", {"kind": "random_string", "min_length": 2, "max_length": 3, "alphabet": "abcdefghij"}, 1000, lambda x: x.rlike("^[a-j]{2,3}$"), once=True)
 for _kind, _pattern in (("person_name", r"^\S+ \S+$"), ("email", r"^[a-zü.äöß]+[0-9]+@[a-z.]+$"), ("city", r"^\S+$"), ("street_address", r"^\S+ [0-9]+, [0-9]{5} \S+$"), ("company_name", r"^\S+ .+$"), ("phone_number", r"^\+49 [0-9]+ [0-9]+$")):
@@ -462,3 +473,121 @@ def scenario_outputs(scenario: str) -> Query:
 
 _register("gen_foreign_keys", scenario_outputs("library_loans_001"), "SELECT * FROM (VALUES ('checks', CAST(17 AS BIGINT)), ('tables', CAST(3 AS BIGINT))) t(\"check\", violations)")
 _register("gen_bridge_and_composite_key", scenario_outputs("tours_guides_001"), "SELECT * FROM (VALUES ('checks', CAST(15 AS BIGINT)), ('tables', CAST(3 AS BIGINT))) t(\"check\", violations)")
+
+# Raw tables as wholes: null rates, keys and row counts that generation must keep.
+
+
+def _scenario(name: str, **rows: int) -> dict:
+    """A bundled scenario whose raw tables named in rows have exactly so many."""
+    spec = json.loads(load(name))
+    for table in spec["raw_tables"]:
+        if n := rows.get(table["name"]):
+            table["rows"] = {"min": n, "max": n}
+    return spec
+
+
+def _raw_tables(spark: SparkSession, spec: dict) -> dict[str, DataFrame]:
+    return synthesise(spark, resolve(document.parse(json.dumps(spec))), 0)[0]
+
+
+def _null_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Nulls of a column and of a key of two parts, which are null together; other columns have none."""
+    n = 20_000
+    parcels = _raw_tables(spark, _scenario("parcels_depots_001", raw_parcels=n))["raw_parcels"]
+    lane, depot, grams = (F.col(c).isNull() for c in ("lane", "depot_id", "grams"))
+    return parcels.agg(
+        F.count(F.lit(1)).alias("n"), F.every(lane == depot).alias("together"), _share(lane, 0.2, n).alias("key_share"), _share(grams, 0.1, n).alias("share"),
+        _share(lane & grams, 0.02, n).alias("independent"), F.count_if(F.col("parcel_id").isNull() | F.col("sent_on").isNull()).alias("others"),
+    )
+
+
+def _keys_once(spark: SparkSession, d: str) -> DataFrame:
+    """A one-to-one key: each parent at most once, those that are left out from everywhere, in no order."""
+    tables = _raw_tables(spark, _scenario("parcels_depots_001", raw_parcels=4_000, raw_receipts=2_000))
+    receipts, parcels = tables["raw_receipts"], tables["raw_parcels"].select("parcel_id", F.lit(True).alias("known"))
+    found = receipts.join(parcels, "parcel_id", "left")
+    lower = F.col("parcel_id") <= 500_000
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("parcel_id").alias("parents"), F.count("known").alias("known"), _share(lower, 0.5, 2_000).alias("fair"), (F.abs(F.corr(F.substring("receipt_id", 3, 6).cast("int"), F.col("parcel_id"))) < 0.1).alias("unordered"))
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    """Row counts of fifty seeds: within their bounds, with room for all keys, not always the same."""
+    plan = resolve(document.parse(load("parcels_depots_001")))
+    found = [(seed, *(row_counts(plan, seed)[t] for t in ("raw_depots", "raw_lanes", "raw_parcels", "raw_receipts"))) for seed in range(50)]
+    df = spark.createDataFrame(found, "seed bigint, depots bigint, lanes bigint, parcels bigint, receipts bigint")
+    inside = F.col("depots").between(4, 9) & F.col("lanes").between(20, 30) & F.col("parcels").between(200, 500) & F.col("receipts").between(150, 600)
+    room = (F.col("lanes") <= 6 * F.col("depots")) & (F.col("receipts") <= F.col("parcels"))
+    return df.agg(F.count("seed").alias("n"), F.every(inside).alias("inside"), F.every(room).alias("room"), (F.count_distinct("parcels") > 30).alias("different"))
+
+
+def _vast_key(spark: SparkSession, d: str) -> DataFrame:
+    """A key of a long string and two foreign keys: its tuples differ, and no part is cut."""
+    spec = _scenario("tours_guides_001", raw_assignments=3_000)
+    table, staged = spec["raw_tables"][2], spec["staging_models"][2]
+    table["columns"].insert(0, {"name": "note", "type": "string", "generator": {"kind": "random_string", "min_length": 12, "max_length": 12}})
+    table["primary_key"].append("note")
+    staged["columns"] += _same(["note"])
+    staged["row_operations"][0]["order_by"].append({"column": "note"})
+    tables = _raw_tables(spark, spec)
+    guides, tours = tables["raw_guides"].count(), tables["raw_tours"].count()
+    return tables["raw_assignments"].agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("note", "guide_id", "tour_id").alias("keys"), (F.count_distinct("guide_id") == guides).alias("all_guides"),
+        (F.count_distinct("tour_id") == tours).alias("all_tours"), F.count_distinct(F.substring("note", 1, 1)).alias("letters"),
+    )
+
+
+def _derived(spark: SparkSession, d: str) -> DataFrame:
+    """The assertions that follow from a scenario's declarations, by kind, table and columns."""
+    plan = resolve(document.parse(load("parcels_depots_001")))
+    rows = [(a.type, a.model, ",".join(getattr(a, "columns", ()))) for a in plan.derived]
+    return spark.createDataFrame(rows, "kind string, model string, columns string")
+
+
+_DERIVED_SQL = """
+WITH keys(model, columns) AS (VALUES ('raw_depots', ['depot_id']), ('raw_lanes', ['depot_id', 'lane']), ('raw_parcels', ['parcel_id']), ('raw_receipts', ['receipt_id']), ('stg_depots', ['depot_id']),
+  ('stg_lanes', ['depot_id', 'lane']), ('stg_parcels', ['parcel_id']), ('stg_receipts', ['receipt_id']), ('j_lanes', ['depot_id', 'lane']), ('j_parcels', ['parcel_id']), ('j_receipts', ['receipt_id']), ('o_signed_by_area', ['area', 'month']))
+SELECT 'unique' AS kind, model, array_to_string(columns, ',') AS columns FROM keys
+UNION ALL SELECT 'not_null', model, unnest(columns) FROM keys
+UNION ALL SELECT 'unique', 'raw_receipts', 'parcel_id'
+UNION ALL SELECT 'not_null', * FROM (VALUES ('raw_depots', 'region'), ('raw_lanes', 'metres'), ('raw_parcels', 'sent_on'), ('raw_receipts', 'parcel_id'), ('raw_receipts', 'signed')) t
+UNION ALL SELECT 'relationships', * FROM (VALUES ('raw_lanes', 'depot_id'), ('raw_parcels', 'depot_id,lane'), ('raw_receipts', 'parcel_id')) t
+UNION ALL SELECT 'row_count', 'o_signed_by_area', ''
+"""
+_register("gen_null_masks", _null_masks, "SELECT CAST(20000 AS BIGINT) AS n, true AS together, true AS key_share, true AS share, true AS independent, CAST(0 AS BIGINT) AS others")
+_register("gen_keys_once", _keys_once, "SELECT CAST(2000 AS BIGINT) AS n, CAST(2000 AS BIGINT) AS parents, CAST(2000 AS BIGINT) AS known, true AS fair, true AS unordered")
+_register("gen_row_counts", _counts, "SELECT CAST(50 AS BIGINT) AS n, true AS inside, true AS room, true AS different")
+_register("gen_vast_key", _vast_key, "SELECT CAST(3000 AS BIGINT) AS n, CAST(3000 AS BIGINT) AS keys, true AS all_guides, true AS all_tours, CAST(36 AS BIGINT) AS letters")
+_register("chk_derived", _derived, _DERIVED_SQL)
+_register("gen_composite_foreign_key", scenario_outputs("parcels_depots_001"), "SELECT * FROM (VALUES ('checks', CAST(18 AS BIGINT)), ('tables', CAST(4 AS BIGINT))) t(\"check\", violations)")
+
+
+def _sink(spark: SparkSession, d: str) -> DataFrame:
+    """A whole table, written with its declared columns in their order and read back."""
+    schema: Schema = {"order_status": STRING, "o_orderkey": INTEGER, "o_totalprice": FLOAT, "o_orderpriority": STRING}
+    path = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    parquet.write(source(spark, d, "orders")[0].withColumnRenamed("o_orderstatus", "order_status").select(*reversed(schema)), path, schema)
+    return parquet.read(spark, path, schema)
+
+
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    """Every model of a scenario, built, and rows by which two of them differ from plain SQL over the raw tables."""
+    built = prepare(spark, resolve(document.parse(load("library_loans_001"))), 0, f"{shared_folder(spark)}/instances-{uuid.uuid4().hex}")
+    names = {t: f"{t}_{uuid.uuid4().hex}" for t in built.record["raw"]}
+    for t, view in names.items():
+        built.table(spark, t).createOrReplaceTempView(view)
+    plain = {
+        "j_full": "SELECT loan_id, CASE WHEN lower(genre) = 'n/a' THEN 'unknown' ELSE lower(genre) END AS genre, price, days - 28 AS late_days, year(lent_on) AS year, upper(trim(town)) AS town FROM {raw_loans} LEFT JOIN {raw_books} USING (book_id) JOIN {raw_readers} USING (reader_id) WHERE days > 1",
+        "o_loans_by_town": "SELECT upper(trim(town)) AS town, year(lent_on) AS year, count(*) AS n_loans, count_if(days > 28) AS late FROM {raw_loans} JOIN {raw_readers} USING (reader_id) WHERE days > 1 GROUP BY 1, 2",
+    }
+    found = [(model, n > 0, False, 0) for model, n in built.record["models"].items() if model not in plain]
+    for model, sql in plain.items():
+        expected, rows = spark.sql(sql.format(**names)), built.table(spark, model)
+        rows = rows.select(*[name(c).cast(expected.schema[c].dataType).alias(c) for c in expected.columns])
+        found.append((model, not rows.isEmpty(), True, rows.exceptAll(expected).count() + expected.exceptAll(rows).count()))
+    for view in names.values():
+        spark.catalog.dropTempView(view)
+    return spark.createDataFrame(found, "model string, filled boolean, compared boolean, different bigint")
+
+
+_register("io_parquet_sink", _sink, "SELECT o_orderstatus AS order_status, o_orderkey, o_totalprice, o_orderpriority FROM orders")
+_register("io_models", _models, "SELECT model, true AS filled, compared, CAST(0 AS BIGINT) AS different FROM (VALUES ('stg_readers', false), ('stg_books', false), ('stg_loans', false), ('j_loans_books', false), ('j_full', true), ('o_loans_by_town', true), ('o_value_by_genre', false)) t(model, compared)")

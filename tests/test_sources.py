@@ -90,7 +90,7 @@ def test_distinct_draws(spark):
 
 
 def test_scenarios_keep_all_that_they_declare(spark, scenario):
-    for name in ("library_loans_001", "tours_guides_001"):
+    for name in ("library_loans_001", "tours_guides_001", "parcels_depots_001"):
         plan = plan_of(scenario(name))
         for seed in (0, 7):
             tables, counts = synthesise(spark, plan, seed)
@@ -132,6 +132,20 @@ def test_nullable_foreign_keys_and_templates(spark, scenario):
     assert all(r["label"] == f"tour {r['tour_id']} ({r['level']})" for r in tours)
 
 
+def test_keys_of_several_columns_are_null_together(spark, scenario):
+    parcels = synthesise(spark, plan_of(scenario("parcels_depots_001")), 0)[0]["raw_parcels"].collect()
+    assert all((r["depot_id"] is None) == (r["lane"] is None) for r in parcels)
+    assert 0.1 < sum(r["lane"] is None for r in parcels) / len(parcels) < 0.3 and any(r["lane"] is None and r["grams"] is not None for r in parcels)
+
+
+def test_counts_leave_room_for_one_to_one_keys(scenario):
+    """Receipts may outnumber parcels by their bounds; they never do, and small tables aren't preferred for it."""
+    plan = plan_of(scenario("parcels_depots_001"))
+    found = [row_counts(plan, seed) for seed in range(200)]
+    assert all(150 <= n["raw_receipts"] <= n["raw_parcels"] <= 500 and n["raw_lanes"] <= 6 * n["raw_depots"] for n in found)
+    assert len({n["raw_parcels"] for n in found}) > 100 and len({n["raw_receipts"] for n in found}) > 100
+
+
 def test_one_to_one_takes_each_parent_once(spark, scenario):
     s = scenario()
     s["relationships"][0]["cardinality"] = "one_to_one"
