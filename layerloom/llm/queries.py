@@ -117,6 +117,20 @@ least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN least ON d.doc_id = least.x LEFT JOIN sizes ON d.doc_id = sizes.doc_id
 """
+#: What SQL can say of op9: its base counts and verdict (tests compare them; `kept` is learned).
+OP9_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+dup AS (SELECT doc_id, sum(n - 1) AS n FROM lines GROUP BY doc_id),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d) x),
+twice AS (SELECT doc_id, s FROM windows GROUP BY ALL HAVING count(*) > 1),
+inside AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows JOIN twice USING (doc_id, s), range(0, 3) r(k) GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(inside.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN inside ON d.doc_id = inside.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+"""
 
 
 def oracle_sql() -> dict[str, str]:

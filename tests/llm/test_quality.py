@@ -97,3 +97,18 @@ def test_fold(spark):
     rows = spark.range(50).select("id", held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
     assert spark.range(1).select(F.lit(None).cast("bigint").alias("i")).select(held_out("i")).first()[0] is False
+
+
+def test_base_counts_equal_sql(spark):
+    """All documents of the smallest tables, in another engine: counts of words, symbols, lines and repeats."""
+    duckdb = pytest.importorskip("duckdb")
+    from layerloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    expected = db.execute(queries.OP9_BASE_SQL)
+    columns = [c[0] for c in expected.description]
+    found = queries.op9_quality_rules(spark, folder)
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(expected.fetchall())
+    assert found.filter("base_failed and kept").isEmpty()
